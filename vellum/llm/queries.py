@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import common
+from vellum.llm import common, quality_rules
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +40,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(common.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_token_output, op5_token_counts, op6_packing, op7_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.quality_rules import verdicts
+
+    return verdicts(common.read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_token_output, op5_token_counts, op6_packing, op7_sharding, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op10_quality_rules": quality_rules.oracle_sql()}
