@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import common, quality_rules
+from vellum.llm import common, decontamination, quality_rules
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.decontamination import matches
+
+    return matches(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +52,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(common.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_token_output, op5_token_counts, op6_packing, op7_sharding, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op10_quality_rules": quality_rules.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op5_token_counts, op6_packing, op7_sharding, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontamination.oracle_sql(),
+    "op10_quality_rules": quality_rules.oracle_sql(),
+}
