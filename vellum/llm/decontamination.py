@@ -171,7 +171,7 @@ bc AS (SELECT item_id, n, s, count(*) AS c, sum(count(*)) OVER (PARTITION BY ite
 pair AS (SELECT doc_id, item_id, any_value(ds.n) AS n, any_value(bc.n) AS l, any_value(m) AS m FROM ds JOIN bc USING (s) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(m) - 1e-9),
 win AS (SELECT doc_id, item_id, m, s0, least(l, n - s0) AS size FROM (SELECT *, unnest(range(0, greatest(n - 4, 1))) AS s0 FROM pair)),
 wc AS (SELECT win.doc_id, win.item_id, s0, size, m, s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= s0 AND ds.p < s0 + greatest(size - 4, 1) GROUP BY win.doc_id, win.item_id, s0, size, m, s),
-sim AS (SELECT wc.doc_id, wc.item_id, s0, size, any_value(wc.m) AS m, sum(wc.c) AS a, coalesce(sum(least(wc.c, bc.c)), 0) AS i FROM wc LEFT JOIN bc ON bc.item_id = wc.item_id AND bc.s = wc.s GROUP BY wc.doc_id, wc.item_id, s0, size),
+sim AS (SELECT wc.doc_id, wc.item_id, s0, size, any_value(wc.m) AS m, sum(wc.c) AS a, sum(CASE WHEN bc.c IS NULL THEN 0 ELSE least(wc.c, bc.c) END) AS i FROM wc LEFT JOIN bc ON bc.item_id = wc.item_id AND bc.s = wc.s GROUP BY wc.doc_id, wc.item_id, s0, size),
 ok AS (SELECT doc_id, item_id, s0, size, i / (a + m - i) AS similarity FROM sim WHERE i / (a + m - i) >= 0.8)
 SELECT doc_id, item_id, similarity, CAST(s0 AS BIGINT) AS start_word, CAST(size AS BIGINT) AS n_words FROM ok
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s0, size DESC) = 1"""
