@@ -78,8 +78,8 @@ def _item_blocks(items: DataFrame, radius: int) -> DataFrame:
     spark = items.sparkSession
     masks = F.broadcast(spark.createDataFrame([(b, m) for b in range(BLOCKS) for m in flips], "__b int, __m int"))  # a fixed table
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("__k")
-    cut = items.select("item", "fp", blocks).select("item", "fp", F.col("__k.b").alias("__b"), F.col("__k.v").alias("__v"))
-    return cut.join(masks, "__b").select("item", F.col("fp").alias("item_fp"), "__b", F.col("__v").bitwiseXOR(F.col("__m").cast("long")).alias("__v"))
+    cut = items.select("item", "fp", "__n", blocks).select("item", "fp", "__n", F.col("__k.b").alias("__b"), F.col("__k.v").alias("__v"))
+    return cut.join(masks, "__b").select("item", F.col("__n").alias("__len"), F.col("fp").alias("item_fp"), "__b", F.col("__v").bitwiseXOR(F.col("__m").cast("long")).alias("__v"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -132,19 +132,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     each = joined.select("key", "text_hash", "__n", "__h", F.explode("__ws").alias("__g")).select("key", "text_hash", "__n", "__h", F.col("__g.__len").alias("__len"), F.explode("__g.__s").alias("start"))
     size = F.least(F.col("__len"), F.col("__n") - F.col("start"))
     each = each.withColumn("n_words", size).withColumn("__sh", F.slice("__h", F.col("start") + 1, F.greatest(F.col("n_words") - (k - 1), F.lit(1))))
-    each = common.stage(each.select("key", "text_hash", "start", "n_words", "__sh").dropDuplicates(["key", "text_hash", "start", "n_words"]), "windows")
+    each = common.stage(each.select("key", "text_hash", "start", "__len", "n_words", "__sh"), "windows")
 
     # 2. and 3. fingerprints and blocks
-    by = ["key", "text_hash", "start", "n_words"]
+    by = ["key", "text_hash", "start", "__len"]
     fps = _fingerprints(each, by, "__sh", longest)
     item_fps = _fingerprints(items, ["item"], "__h", longest)
     blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("__k")
     cut = fps.select(*by, "fp", blocks).select(*by, "fp", F.col("__k.b").alias("__b"), F.col("__k.v").alias("__v"))
-    near = cut.join(_item_blocks(item_fps, radius), ["__b", "__v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    sized = item_fps.join(items.select("item", "__n"), "item")
+    near = cut.join(_item_blocks(sized, radius), ["__len", "__b", "__v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     near = common.stage(near.select(*by, "item").distinct(), "candidates")
 
     # 4. exact similarity
-    pair = near.join(each, [near["key"].eqNullSafe(each["key"]), *[near[c] == each[c] for c in by[1:]]]).select(*[near[c] for c in by], near["item"], "__sh")
+    pair = near.join(each, [near["key"].eqNullSafe(each["key"]), *[near[c] == each[c] for c in by[1:]]]).select(*[near[c] for c in by], near["item"], "n_words", "__sh")
     pair = pair.join(items.select("item", F.col("__h").alias("__ih")), "item")
     plain = (F.size(F.array_distinct("__sh")) == F.size("__sh")) | (F.size(F.array_distinct("__ih")) == F.size("__ih"))
     weighted = F.aggregate(F.array_distinct("__ih"), F.lit(0), lambda a, x: a + F.least(F.size(F.filter("__ih", lambda y: y == x)), F.size(F.filter("__sh", lambda y: y == x))))
