@@ -28,6 +28,12 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.suffix_dedup import report
+
+    return report(common.read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.token_counts import token_counts
 
@@ -52,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(common.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op5_token_counts, op6_packing, op7_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
