@@ -52,13 +52,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(common.read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.html_text import extract
+
+    out = extract(common.read_table(spark, sf_dir, "pages").select("page_id", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.quality_rules import verdicts
 
     return verdicts(common.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op8_html_extraction, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
