@@ -204,10 +204,8 @@ def _table(node: Node, depth: int) -> list[str]:
 def render(node: Node, depth: int = 0) -> list[str]:
     """The lines of one element's content."""
     lines = _Lines()
-    number = 0
 
     def walk(n: Node, pre: bool) -> None:
-        nonlocal number
         for c in n.children:
             if isinstance(c, str):
                 if pre:
@@ -238,7 +236,6 @@ def render(node: Node, depth: int = 0) -> list[str]:
                 lines.block(True)
             elif c.tag in ("ul", "ol", "menu", "dl"):
                 lines.block(n.tag != "li" and n.tag not in ("ul", "ol", "menu"))
-                number = 0
                 for x in _list(c, depth):
                     lines.put(x)
                 lines.block(n.tag != "li" and n.tag not in ("ul", "ol", "menu"))

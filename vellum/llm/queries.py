@@ -59,13 +59,20 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.toxicity import score, train
+
+    docs = common.read_table(spark, sf_dir, "documents")
+    return score(docs, train(docs, common.read_table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.quality_rules import verdicts
 
     return verdicts(common.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op8_html_extraction, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op8_html_extraction, op9_toxicity, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
