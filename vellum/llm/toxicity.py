@@ -159,8 +159,9 @@ def score(docs: DataFrame, model: Machine, key: str = "doc_id", text: str = "tex
             lists = []
             for t in b.column(2):
                 words = set(_WORD.findall((t.as_py() or "").lower()))
-                for w in words - known.keys():
-                    known[w] = tuple(at[h] for h in _hashes.__wrapped__(w) if h in at)
+                for w in words:
+                    if w not in known:
+                        known[w] = tuple(at[h] for h in _hashes.__wrapped__(w) if h in at)
                 lists.append(sorted({i for w in words for i in known[w]}))
                 if len(known) > CACHE_WORDS:
                     known.clear()
