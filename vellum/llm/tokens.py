@@ -6,17 +6,21 @@ pieces in order.  Pieces go through the library; their ids stay in a bounded cac
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 
 #: Entries of a worker's piece cache; it is emptied when full.
 CACHE_PIECES = 300_000
+#: Characters of its pieces, so that very long ones don't pile up.
+CACHE_CHARS = 32_000_000
 
 #: Characters that str.split() treats as space and the vocabulary's own splitter doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: White space next to a plain space: the splitter may then join it with its neighbours.
-_LOOSE_SPACE = re.compile(r" \s|\s |[\x1c-\x1f]")
+_LOOSE = ("  ", " \n", "\n ", "\t", "\r")
+_ODD_OR_WIDE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def load(path: str):
@@ -35,58 +39,61 @@ def word_pieces(text: str) -> list[str]:
 
 def byte_pieces(text: str) -> list[str]:
     """Pieces for the byte-level vocabulary, which keeps one space before a word."""
-    if _LOOSE_SPACE.search(text):
+    if any(x in text for x in _LOOSE) or _ODD_OR_WIDE.search(text):
         return [text]
     first, *rest = text.split(" ")
     return ([first] if first else []) + [" " + x for x in rest]
 
 
+class _Index(dict):
+    """Numbers each new piece in order of appearance and remembers it in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = k = len(self)
+        self.new.append(piece)
+        return k
+
+
 class PieceEncoder:
     """encode(texts) -> one uint32 id array per text, as the library gives them."""
 
-    def __init__(self, path: str, pieces, limit: int = CACHE_PIECES):
-        self.tok, self.pieces, self.limit = load(path), pieces, limit
+    def __init__(self, path: str, pieces, limit: int = CACHE_PIECES, limit_chars: int = CACHE_CHARS):
+        self.tok, self.pieces, self.limit, self.limit_chars = load(path), pieces, limit, limit_chars
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
+        self.index, self.chars = _Index(), 0
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(new, add_special_tokens=False)]
-        length = np.array([len(x) for x in got], np.int64)
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        length = np.fromiter(map(len, got), np.int64, len(got))
         base = len(self.ids)
-        self.ids = np.concatenate([self.ids, *got])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(length.sum()))])
         self.start = np.concatenate([self.start, base + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        at = len(self.index)
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
+        self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.chars > self.limit_chars:
             self.clear()
         split = [self.pieces(t) for t in texts]
-        new = list({p: None for ps in split for p in ps if p not in self.index})
-        whole = {p for p in new if len(p) > 4096}  # very long pieces aren't worth keeping
-        if new := [p for p in new if p not in whole]:
-            self._learn(new)
-        if whole:
-            keep = (self.index, self.ids, self.start, self.length)
-            self.index = dict(self.index)
-            self._learn(list(whole))
-        look = self.index.__getitem__
-        idx = np.fromiter((look(p) for ps in split for p in ps), np.int64)
+        idx = np.array(list(map(self.index.__getitem__, itertools.chain.from_iterable(split))), np.int64)
+        if self.index.new:
+            self._learn()
         length, counts = self.length[idx], np.array([len(ps) for ps in split], np.int64)
         ends = np.cumsum(length)
-        ids = self.ids[np.repeat(self.start[idx] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.start[idx] - (ends - length), length) + np.arange(total)]
         cuts = np.concatenate([[0], ends])[np.cumsum(counts)]
-        out = np.split(ids, cuts[:-1]) if len(cuts) else []
-        if whole:
-            self.index, self.ids, self.start, self.length = keep
-        return out
+        return np.split(ids, cuts[:-1]) if len(cuts) else []
 
 
 def chunks(texts: list, most: int = 2_000_000):
