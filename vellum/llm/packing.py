@@ -38,7 +38,7 @@ def _default_path() -> str:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> tokens.PieceEncoder:
-    return tokens.PieceEncoder(path, tokens.byte_pieces)
+    return tokens.PieceEncoder(path, tokens.byte_pieces, tokens.pretoken_splitter(False))
 
 
 class OpenWindows:

@@ -47,7 +47,7 @@ def _default_path() -> str:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> tokens.PieceEncoder:
-    return tokens.PieceEncoder(path, tokens.word_pieces)
+    return tokens.PieceEncoder(path, tokens.word_pieces, tokens.pretoken_splitter(True))
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:

@@ -6,13 +6,16 @@ pieces in order.  Pieces go through the library; their ids stay in a bounded cac
 
 from __future__ import annotations
 
+import functools
 import itertools
+import os
 import re
+import unicodedata
 
 import numpy as np
 
 #: Entries of a worker's piece cache; it is emptied when full.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 #: Characters of its pieces, so that very long ones don't pile up.
 CACHE_CHARS = 32_000_000
 
@@ -24,6 +27,7 @@ _ODD_OR_WIDE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u
 
 
 def load(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already share the cores
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -45,6 +49,27 @@ def byte_pieces(text: str) -> list[str]:
     return ([first] if first else []) + [" " + x for x in rest]
 
 
+#: The pre-token patterns of the two vocabularies (fixed by the tokenizer files).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _plain(piece: str) -> bool:
+    """Latin only and without special strings: no doubt how the library cuts it."""
+    return piece.isascii() and "<|" not in piece or bool(piece) and max(piece) < "\u0250" and "<|" not in piece
+
+
+@functools.lru_cache(maxsize=2)
+def pretoken_splitter(words: bool):
+    """Pre-tokens of a piece; for the vocabulary with word ends also lowered."""
+    import regex
+
+    find = regex.compile(WORD_PATTERN if words else BYTE_PATTERN).findall
+    if not words:
+        return lambda p: find(p) if _plain(p) else [p]
+    return lambda p: find(p.lower()) if _plain(p) and (p.isascii() or unicodedata.is_normalized("NFC", p)) else [p]
+
+
 class _Index(dict):
     """Numbers each new piece in order of appearance and remembers it in `new`."""
 
@@ -58,41 +83,72 @@ class _Index(dict):
         return k
 
 
-class PieceEncoder:
-    """encode(texts) -> one uint32 id array per text, as the library gives them."""
-
-    def __init__(self, path: str, pieces, limit: int = CACHE_PIECES, limit_chars: int = CACHE_CHARS):
-        self.tok, self.pieces, self.limit, self.limit_chars = load(path), pieces, limit, limit_chars
-        self.clear()
+class _Store:
+    """Ids of numbered strings, in one flat array."""
 
-    def clear(self) -> None:
+    def __init__(self):
         self.index, self.chars = _Index(), 0
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
-    def _learn(self) -> None:
+    def add(self, names: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+        self.ids, self.length = np.concatenate([self.ids, ids]), np.concatenate([self.length, length])
+        self.chars += sum(map(len, names))
+
+    def numbers(self, strings) -> np.ndarray:
+        return np.array(list(map(self.index.__getitem__, strings)), np.int64)
+
+    def take_new(self) -> list[str]:
         new, self.index.new = self.index.new, []
-        got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        base = len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(length.sum()))])
-        self.start = np.concatenate([self.start, base + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.chars += sum(map(len, new))
+        return new
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > self.limit or self.chars > self.limit_chars:
-            self.clear()
-        split = [self.pieces(t) for t in texts]
-        idx = np.array(list(map(self.index.__getitem__, itertools.chain.from_iterable(split))), np.int64)
-        if self.index.new:
-            self._learn()
-        length, counts = self.length[idx], np.array([len(ps) for ps in split], np.int64)
+    def gather(self, idx: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in order, and where each run of `counts` strings ends."""
+        length = self.length[idx]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.start[idx] - (ends - length), length) + np.arange(total)]
-        cuts = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
+
+
+class PieceEncoder:
+    """encode(texts) -> one uint32 id array per text, as the library gives them.
+
+    pieces cuts a text at white space; pretokens cuts a new piece further, or returns it
+    whole where only the library knows how.  Both levels are remembered.
+    """
+
+    def __init__(self, path: str, pieces, pretokens, limit: int = CACHE_PIECES, limit_chars: int = CACHE_CHARS):
+        self.tok, self.pieces, self.pretokens = load(path), pieces, pretokens
+        self.limit, self.limit_chars = limit, limit_chars
+        self.words, self.parts = _Store(), _Store()
+
+    def _full(self, store: _Store) -> bool:
+        return len(store.index) > self.limit or store.chars > self.limit_chars
+
+    def _learn(self) -> None:
+        new = self.words.take_new()
+        cut = [self.pretokens(p) for p in new]
+        idx = self.parts.numbers(itertools.chain.from_iterable(cut))
+        if parts := self.parts.take_new():
+            got = [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+            length = np.fromiter(map(len, got), np.int64, len(got))
+            self.parts.add(parts, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(length.sum())), length)
+        ids, ends = self.parts.gather(idx, np.array([len(c) for c in cut], np.int64))
+        self.words.add(new, ids, np.diff(ends, prepend=0))
+        if self._full(self.parts):
+            self.parts = _Store()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self._full(self.words):
+            self.words = _Store()
+        split = [self.pieces(t) for t in texts]
+        idx = self.words.numbers(itertools.chain.from_iterable(split))
+        if self.words.index.new:
+            self._learn()
+        ids, cuts = self.words.gather(idx, np.array([len(ps) for ps in split], np.int64))
         return np.split(ids, cuts[:-1]) if len(cuts) else []
 
 
