@@ -38,7 +38,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _shingles(df: DataFrame, text: str, k: int) -> DataFrame:
     """Adds __n (words) and __h (hashes of the k-word shingles; of the whole if shorter)."""
-    df = df.withColumn("__w", common.words_of(common.ascii_lower(F.coalesce(F.col(text), F.lit(""))))).withColumn("__n", F.size("__w"))
+    df = df.withColumn("__w", common.words_of(F.lower(F.coalesce(F.col(text), F.lit(""))))).withColumn("__n", F.size("__w"))
     shifted = F.arrays_zip("__w", *[F.slice("__w", j + 1, F.greatest(F.col("__n") - j, F.lit(0))) for j in range(1, k)])
     windows = F.transform(F.slice(shifted, 1, F.greatest(F.col("__n") - (k - 1), F.lit(0))), lambda x: F.xxhash64(x))
     whole = F.when((F.col("__n") > 0) & (F.col("__n") < k), F.array(F.xxhash64(F.col("__w")))).otherwise(F.array().cast("array<bigint>"))
@@ -86,7 +86,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """key, text_hash, item, similarity, start_word, n_words: the best window of each
     document for each item that it holds with at least the threshold's similarity.
 
-    Words are split at ASCII white space with A-Z lowered.  Null and empty texts and items
+    Texts are lowered and split into words at ASCII white space.  Null and empty texts and items
     match nothing.  A text or item shorter than a shingle is one shingle, so a short item
     is found only where it is the whole text.  Null keys are matched like others; repeated
     rows give one result.  Of equal similarities the first window counts, then the longer.
@@ -163,7 +163,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def oracle_sql() -> str:
     """Every window against every item that shares enough shingles, in DuckDB SQL."""
-    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
     return f"""
 WITH dw AS (SELECT doc_id, {words} AS w FROM documents), bw AS (SELECT item_id, {words} AS w FROM benchmark),
 ds AS (SELECT doc_id, len(w) AS n, i - 1 AS p, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM dw WHERE len(w) > 0)),
