@@ -94,6 +94,38 @@ def test_simhash_components(spark, texts):
     assert [int(got[i].fingerprint, 16) for i in range(len(fps))] == fps
 
 
+def test_one_of_each_group_takes_similar_texts(spark):
+    from vellum.llm.simhash_dedup import fingerprint, one_of_each_group
+
+    rng = random.Random(9)
+    out = [None, "", "one", "two words"]
+    for _ in range(12):
+        base = [f"{rng.choice('abcdef')}{rng.randint(0, 400)}" for _ in range(rng.randint(30, 300))]
+        out.append(" ".join(base))
+        for edits in (0, 1, 2, 4, 8):
+            words = list(base)
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = f"new{rng.randint(0, 99)}"
+            out.append(" ".join(words))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, fps = [shingles(t) for t in out], [fingerprint(t) for t in out]
+    root = list(range(len(out)))
+    for _ in range(4):
+        for i in range(len(out)):
+            for j in range(len(out)):
+                both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+                if (fps[i] ^ fps[j]).bit_count() <= 3 or either and both >= 0.8 * either:
+                    root[i] = min(root[i], root[j])
+    docs = _docs(spark, out)
+    got = one_of_each_group(docs.unionByName(docs.filter("doc_id in (3, 5)")))
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+
+
 def test_cells_of_close_fingerprints_meet():
     from vellum.llm.simhash_dedup import cells
 

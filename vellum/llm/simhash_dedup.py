@@ -217,13 +217,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = 0.8) -> DataFrame:
     """The rows of docs that stay when each group keeps the document of its smallest key.
 
-    Of rows that share that key one stays.  Rows with a null key stay only where their
-    group has no other key.
+    Documents are one group when fingerprints link them or, unless similarity is None, when
+    five-word shingle sets of that Jaccard similarity do (shingle_links says how those are
+    found).  Keys are integers.  Of rows that share that key one stays.  Rows with a null key
+    stay only where their group has no other key.
     """
-    near = near_duplicates(docs, key, text, shingle, radius).select(F.col(key).alias("__key"), "component_id").filter(F.col("__key").eqNullSafe(F.col("component_id")))
+    from vellum.llm import shingle_links
+
+    near = near_duplicates(docs, key, text, shingle, radius).select(F.col(key).alias("__key"), "component_id")
+    if similarity is not None:
+        known = common.stage(near.dropDuplicates().select(F.col("__key").alias("key"), "component_id"), "known").filter("key is not null")
+        comp = common.stage(components(shingle_links.links(docs.select(key, text), known, key, text, similarity)), "components")
+        near = near.join(comp, near["component_id"] == comp["node"], "left").select("__key", F.coalesce("root", "component_id").alias("component_id"))
+    near = near.filter(F.col("__key").eqNullSafe(F.col("component_id")))
     near = near.dropDuplicates(["__key"]).select("__key")
     one = docs.join(near, docs[key].eqNullSafe(near["__key"]), "left_semi")
     repeated = docs.groupBy(F.col(f"`{key}`").alias("__k")).count().filter("count > 1").select("__k")
