@@ -105,3 +105,48 @@ def test_stream_front(spark, tmp_path):
     spark.createDataFrame([(1, "text", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     profile_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("doc_id", "lang").collect()[0][:] == (1, "en")
+
+
+def test_eval_checks_of_every_kind(spark):
+    from vellum.operators import report
+
+    cases = spark.createDataFrame([
+        (1, "rewrite", "minimal_edit", "Keep 12 apples, \uff21 b. Then go.", ["12 apples", "A b"], ["zzz"], ["bad"], ["number", "dash", "emoji", "first_person", "other"], [["Keep", "go"], ["go", "Keep"]], 1, 2, 0.5, 0.0, None, None),
+        (2, "review", None, "text", None, None, None, None, None, None, None, None, None, "hit", ["x+y"]),
+        (3, "rewrite", None, "gone", ["gone"], None, None, None, None, None, None, None, None, None, None),
+        (4, "rewrite", "minimal_edit", "abcdefghij", None, None, None, None, None, None, None, None, 0.1, None, None),
+    ], "case_id int, mode string, class string, body string, must_preserve array<string>, must_remove array<string>, forbidden_in_output array<string>, must_not_add array<string>, order array<array<string>>, sentence_min int, sentence_max int, length_ratio_min double, minimal_edit_tolerance double, expected_verdict string, forbidden_in_report array<string>")
+    out = spark.createDataFrame([(1, "Keep 12apples - A b; then go 13 \u2014 I", "", "rewrite", "pass", False, 2), (2, "", "a hit, xxy", "review", None, None, None), (4, "abcdefghiX", "", "rewrite", "fail", True, 1)], "case_id int, output string, report string, run_mode string, status string, partial boolean, n_sentences int")
+    got = {(r.case_id, r.check): r["pass"] for r in report.eval_checks(cases, out, {"first_person": ["I"]}).collect()}
+    failed = {k for k, v in got.items() if not v}
+    assert failed == {(1, "must_not_add:number"), (1, "must_not_add:dash"), (1, "must_not_add:first_person"), (1, "order:go<Keep"), (1, "minimal_edit"), (2, "forbidden_in_report:x+y"), (3, "delivered"), (4, "no_hard_failures"), (4, "not_partial")}
+    assert {c for i, c in got if i == 2} == {"mode_is_review", "expected_verdict", "forbidden_in_report:x+y", "no_rewrite_delivered"} and len([1 for i, _ in got if i == 1]) == 17
+
+
+def test_prompts(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.operators import compose
+
+    facts = spark.createDataFrame([(1, "structural", "line"), (2, "bounded", "line")], "doc_id long, scope string, triage_line string")
+    numbered = spark.createDataFrame([(1, "[1] a")], "doc_id long, numbered string")
+    literal = spark.createDataFrame([(1, 2, 1, "name", "Ann"), (1, 1, 1, "number", "3")], "doc_id long, sentence int, ord int, kind string, text string")
+    verdict = spark.createDataFrame([(1, 1, "S1", "1", "R", "t", "确认", "why", None), (1, 2, "S2", "1", "R", "t", "排除", "why", "f")], "doc_id long, ord int, id string, sentence string, rule string, trigger string, verdict string, reason string, fix string")
+    judge = spark.createDataFrame([(1, 1, "[1]", "通过", "", ""), (1, 2, "[2]", "失真", "n", "m")], "doc_id long, ord int, block string, result string, item string, note string")
+    failed = spark.createDataFrame([(1, 1, '{"kind": "scope"}')], "doc_id long, ord int, failure string")
+    before = spark.createDataFrame([(1, "out"), (2, "")], "doc_id long, output string")
+    got = {r.doc_id: r.prompt for r in compose.rewrite_prompt(facts, numbered, literal, verdict, "T", {"structural": "E"}, failed, judge, before).collect()}
+    assert got[1] == "\n\n".join(["T", "## 本次四条轴", "line", "## 逐字项（改写后必须原样存在）", "- 第 1 句：3（number）\n- 第 2 句：Ann（name）", "## 裁决后的问题清单", compose.VERDICT_HEAD + "\n| S1 | 1 | R | t | 确认 | why |  |", "## 范例", "E", "## 编号正文", "[1] a", "## 上一轮核验失败项（只需修这些，其余沿用上一轮）", '- {"kind": "scope"}', "## 语义判定认定的失真项（改回原意，其余沿用上一轮）", "- [2]：失真（n）m", "## 上一轮输出", "out"])
+    assert got[2].endswith("## 范例\n\n\n\n## 编号正文\n\n") and "（无）" in got[2]
+    blocks = spark.createDataFrame([(1, 2, 3, "a b", "", "", "next")], "doc_id long, start int, end int, before string, after string, context_before string, context_after string")
+    judged = {r.doc_id: r.prompt for r in compose.judge_prompt(facts, blocks, "T").collect()}
+    assert judged[1] == "T\n\n## 变更块\n\n### 块 [2-3]\n前一句：（无）\n原文：a b\n改文：（整句删除）\n后一句：next" and judged[2].endswith("（没有字面改动）")
+    note = spark.createDataFrame([(1, "确认", i, f"R{i}", "1", "t", "r", "f") for i in range(8)], "doc_id long, verdict string, ord int, rule string, sentence string, trigger string, reason string, fix string")
+    text = compose.review_report(facts.withColumn("short_text", F.lit(False)), note).orderBy("doc_id").first().report
+    assert text.startswith("line\n\n结论：命中模式 8 处。\n\n## 确认项\n- R0｜第 1 句｜触发：t｜建议：f") and "- 另有 2 条见附录。\n\n是谁写的" in text
+
+
+def test_literals_are_compared_in_normal_form(spark):
+    items = spark.createDataFrame([(1, 1, "name", "A B"), (1, 1, "number", "7"), (2, 1, "name", "C")], "doc_id long, sentence int, kind string, text string")
+    after = spark.createDataFrame([(1, "\uff21\u3000B")], "doc_id long, restored string")
+    assert {(r.doc_id, r.text) for r in verify.literals_missing(items, after).collect()} == {(1, "7"), (2, "C")}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import extract, gates, patching, protocol, report, segment, triage, verify
+from vellum.operators import compose, extract, gates, patching, protocol, report, segment, triage, verify
 
 #: (rule, phrase) pairs of a small lexicon of frequent words, so that counts aren't zero.
 LEXICON = [("hedge", "the"), ("hedge", "that"), ("hedge", "than"), ("cause", "for"), ("cause", "ion"), ("none", "因此")]
@@ -406,10 +406,80 @@ SQL["eval_scores"] = f"""WITH {_PAIRS}, k AS (SELECT doc_id AS case_id, b <> ''
 c AS (SELECT case_id, delivered AS pass FROM k UNION ALL SELECT case_id, kept FROM k WHERE delivered AND len(w) > 1 UNION ALL SELECT case_id, dropped FROM k WHERE delivered UNION ALL SELECT case_id, long FROM k WHERE delivered)
 SELECT case_id, bool_and(pass) AS passed, count(*) FILTER (NOT pass) AS n_failed, count(*) AS n_checks FROM c GROUP BY case_id"""
 
+def literals_missing(spark, sf):
+    """Names of the documents that the restored texts lack."""
+    items = extract.literal_items(segment.sentences(_docs(spark, sf))).filter("kind = 'name'")
+    return verify.literals_missing(items, _pairs(spark, sf)).drop("kind")
+
+
+SQL["literals_missing"] = f"WITH {_ONLY}, {_PAIRS}, nm AS (SELECT doc_id, id AS sentence, unnest(list_distinct({_NAMES})) AS text FROM sent WHERE NOT protected) SELECT doc_id, sentence, text FROM nm JOIN pr USING (doc_id) WHERE NOT contains(regexp_replace(b, '\\s+', '', 'g'), regexp_replace(text, '\\s+', '', 'g'))"
+
+DETECTORS = [("R-1", "regex", "[a-z]{3}ing"), ("R-2", "lexicon", "hedge"), ("R-3", "count", "[0-9]+")]
+
+
+def detector_scan(spark, sf):
+    return extract.detected(segment.sentences(_docs(spark, sf)), DETECTORS, {"hedge": [p for r, p in LEXICON if r == "hedge"]}, least=3)
+
+
+SQL["detector_scan"] = f"""WITH {_ONLY}, h AS (SELECT doc_id, id AS sentence, 'R-1' AS rule, CAST({_N('[a-z]{3}ing')} AS INTEGER) AS hits FROM sent WHERE NOT protected
+UNION ALL SELECT doc_id, id, 'R-2', {' + '.join(_COUNT('text', p) for r, p in LEXICON if r == 'hedge')} FROM sent WHERE NOT protected)
+SELECT * FROM h WHERE hits > 0 UNION ALL SELECT doc_id, NULL, 'R-3', CAST(sum({_N('[0-9]+')}) AS INTEGER) FROM sent WHERE NOT protected GROUP BY doc_id HAVING sum({_N('[0-9]+')}) >= 3"""
+
+
+def _triaged(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "text", F.lit("").alias("request"), F.lit(None).cast("string").alias("file_path"))
+    return triage.axes(d).withColumn("triage_line", compose.triage_line())
+
+
+def diagnose_prompt(spark, sf):
+    """Prompts of all documents with a template and a card of one line."""
+    cards = spark.createDataFrame([("en", "EN"), ("zh", "ZH")], "lang string, cards string")
+    d = _docs(spark, sf)
+    return compose.diagnose_prompt(_triaged(spark, sf).withColumn("triage_line", F.col("mode")), segment.numbered(segment.sentences(d)), cards, "T")
+
+
+SQL["diagnose_prompt"] = f"WITH {_ONLY}, nb AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY id) AS numbered FROM (SELECT doc_id, id, CASE WHEN paragraph <> lag(paragraph) OVER (PARTITION BY doc_id ORDER BY id) THEN chr(10) ELSE '' END || '[' || id || '] ' || text AS line FROM sent) GROUP BY doc_id) SELECT doc_id, concat_ws(chr(10) || chr(10), 'T', '## 分诊声明', 'rewrite', '## 候选清单（扫描输出）', '{compose.NO_CANDIDATES}', '## 规则卡片', CASE WHEN {_N(CJK, 'd.text')} >= {_N(WORD, 'd.text')} THEN 'ZH' ELSE 'EN' END, '## 编号正文', coalesce(numbered, '')) AS prompt FROM documents d LEFT JOIN nb USING (doc_id)"
+
+
+def judge_prompt(spark, sf):
+    """Prompts about the changes that patches by rule make in every document."""
+    d = _docs(spark, sf).select("doc_id", "text")
+    s = segment.sentences(d)
+    good = patching.validated(s, _made_patches(d)).filter("reason IS NULL")
+    return compose.judge_prompt(d, patching.change_blocks(s, good), "T")
+
+
+def rewrite_prompt(spark, sf):
+    """Prompts of all documents, with the verdicts of the fixture's outputs."""
+    s = segment.sentences(_docs(spark, sf))
+    return compose.rewrite_prompt(_triaged(spark, sf), segment.numbered(s), extract.literal_items(s), protocol.verdicts(_outputs(spark), ["doc_id"]), "T", {"structural": "E"})
+
+
+def rewrite_report(spark, sf):
+    o, docs = _outputs(spark), _fx(spark)
+    facts = triage.axes(docs).withColumn("triage_line", F.col("mode")).withColumn("rounds", F.lit(1)).withColumn("partial", F.col("doc_id") == 2).join(o.select("doc_id"), "doc_id", "left_semi")
+    scan = spark.createDataFrame([(1, "R-1", 2, 1), (1, "R-2", 1, 3), (1, "R-3", 1, 0)], "doc_id long, rule string, before int, after int")
+    signals = spark.createDataFrame([(1, 1, "dash_added"), (1, 2, "emoji_added")], "doc_id long, ord int, signal string")
+    parts = [f(o, ["doc_id"]) for f in (protocol.ledger, protocol.verdicts, protocol.pending, protocol.judge)]
+    return compose.rewrite_report(facts, *parts, scan, signals)
+
+
+def _report_sql(doc: int, *lines: str) -> str:
+    return f"SELECT CAST({doc} AS BIGINT) AS doc_id, concat_ws(chr(10), {', '.join(map(_q, lines))}) AS report"
+
+
+_PREMISE = "- 体裁自动判定：通用长文，依据：无线索命中。"
+SQL["rewrite_report"] = " UNION ALL ".join([
+    _report_sql(1, "## 改动说明", "review", "- S1（R-1）：done", "", "## 残留清单", "- S3：其他，?", "- 复扫仍有命中的规则：R-1, R-2", "- 复扫发现改写新引入的规则命中：R-2", "", "## 前提声明", _PREMISE, "- 复核信号（不阻断）：dash_added, emoji_added。", "- 轮数：1。"),
+    _report_sql(2, compose.PARTIAL, "## 改动说明", "rewrite", "", "## 残留清单", "- 无", "", "## 建议删除（待确认）", "- 第 2 句：text｜why", "", "## 需作者确认", "- [2]：失真（n），bad", "", "## 前提声明", "- 体裁自动判定：商务邮件，依据：有称呼加募资措辞。", "- 轮数：1。"),
+    _report_sql(3, "## 改动说明", "file", "", "## 残留清单", "- 无", "", "## 前提声明", _PREMISE, "- 轮数：1。"),
+])
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_profile, sentence_split, sentence_count, sentence_join, numbered_text, phrase_hits_by_rule, semantic_items, literal_numbers, literal_names, credential_gate, prose_gate, url_spans, protected_spans, triage_axes,
         verdict_parse, ledger_parse, pending_parse, judge_parse, patch_parse, patch_scope, patch_validate, patch_apply, verify_signals, rescan_delta, verify_status, ledger_gap, review_report, corpus_rollup, eval_scores, runs,
+        literals_missing, detector_scan, diagnose_prompt, judge_prompt, rewrite_prompt, rewrite_report,
     )
 }
