@@ -22,8 +22,10 @@ from vellum.llm import common
 
 SHINGLE_WORDS = 3
 RADIUS = 3
-#: Bits of a segment; a half has 32 // SEGMENT_BITS segments.
-SEGMENT_BITS = 2
+#: Bits of a segment; a half has 32 // SEGMENT_BITS segments.  Two random halves share a cell
+#: of one-bit segments once in 2**32, of two-bit segments once in 2**22.6: wider segments have
+#: a few keys less for each fingerprint, but chance neighbours soon fill their cells.
+SEGMENT_BITS = 1
 SEED = 42
 #: Members of a cell that one group compares; larger cells are dealt out as block pairs.
 BLOCK = 2048
