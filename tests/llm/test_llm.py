@@ -126,6 +126,29 @@ def test_one_of_each_group_takes_similar_texts(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
 
 
+def test_similar_texts_of_one_template_meet(spark, monkeypatch):
+    from vellum.llm import shingle_links
+    from vellum.llm.simhash_dedup import components
+
+    rng = random.Random(4)
+    head = [f"t{i}" for i in range(180)]
+    own = [[f"d{k}w{i}" for i in range(35)] for k in range(400)]
+    out = [" ".join(head + w) for w in own]
+    for w in own[:100]:  # part of the own words again: a near copy of this text alone
+        out.append(" ".join(head + w[:-22] + [f"x{rng.randint(0, 10**9)}" for _ in range(22)]))
+    sets = [shingle_links.shingle_set(t) for t in out]
+    root = list(range(len(out)))
+    for j in range(len(out)):
+        for i in range(j):
+            if shingle_links.similar(sets[i], sets[j], 0.8):
+                root[j] = min(root[j], root[i])
+    assert root == list(range(400)) + list(range(100))
+    for block in (64, 512):
+        monkeypatch.setattr(shingle_links, "BLOCK", block)
+        got = {r.node: r.root for r in components(shingle_links.links(_docs(spark, out))).collect()}
+        assert [got.get(i, i) for i in range(len(out))] == root
+
+
 def test_cells_of_close_fingerprints_meet():
     from vellum.llm.simhash_dedup import cells
 

@@ -5,9 +5,10 @@ apart, where no grid over 64 bits stays selective, so candidates come from min-w
 of the shingles instead.  Every candidate is verified exactly on whole shingle sets.
 
 Equal texts collapse first.  A text has BANDS keys of ROWS minima each; a pair of similarity
-0.8 shares no key once in 2,900.  A key's members never meet in all pairs: members of one
-component count as one, and a centre that changes from round to round is compared with one
-member of each other component.
+0.8 shares no key once in 2,900.  Rounds of centres link most members of a key cheaply: a
+centre that changes from round to round is compared with one member of each other component.
+What is then left in a key, all pairs of members in different components, is compared
+exactly, dealt out as pairs of bounded blocks.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from vellum.llm import common
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-#: Rounds of centres; a round without a new link ends them.
+#: Rounds of centres, before the rest is compared; a round without a new link ends them.
 ROUNDS = 3
-#: Members that one task compares with a copy of the centre's text.
+#: Members that one task compares with a copy of the centre's text, or with another block.
 BLOCK = 512
+#: Shingles of a block: few members where texts are long.
+BLOCK_SHINGLES = 4_000_000
 _ODD = np.random.default_rng(7).integers(1 << 62, size=(BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(8).integers(1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,23 +73,25 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _sketches(base: DataFrame, shingle: int) -> DataFrame:
-    """(key, copy, bands): copy is a hash of the whole text; texts without words have no row."""
+    """(key, copy, size, bands): copy is a hash of the whole text, size its number of shingles;
+    texts without words have no row."""
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            keys, copies, bands = [], [], []
+            keys, copies, sizes, bands = [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
                 s = shingle_set(text, shingle)
                 if len(s):
                     keys.append(key)
                     copies.append(xxhash.xxh3_128_digest(text.encode("utf-8")))
+                    sizes.append(len(s))
                     bands.append(band_keys(s).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(copies, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "copy", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(copies, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["key", "copy", "size", "bands"])
 
-    return base.mapInArrow(run, "key long, copy binary, bands array<long>")
+    return base.mapInArrow(run, "key long, copy binary, size long, bands array<long>")
 
 
 def _verified(base: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -114,6 +119,98 @@ def _verified(base: DataFrame, pairs: DataFrame, similarity: float, shingle: int
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join all labels of which a member in left is similar to one in right."""
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    cut = np.cumsum(size) - size
+    if len(right) < len(left):
+        left, right = right, left
+    across = np.concatenate([ids[cut[j] : cut[j] + size[j]] for j in right])
+    starts = np.cumsum(size[right]) - size[right]
+    held = np.zeros(int(ids.max()) + 1, bool)
+    labels, out = labels.copy(), []
+    for i in left:
+        apart = (labels[right] != labels[i]) & (np.minimum(size[right], size[i]) >= similarity * np.maximum(size[right], size[i]))
+        if not apart.any():
+            continue
+        own = ids[cut[i] : cut[i] + size[i]]
+        held[own] = True
+        both = np.add.reduceat(held[across], starts, dtype=np.int64)
+        held[own] = False
+        near = right[apart & (both >= similarity * (size[right] + size[i] - both))]
+        if len(near):
+            other, first = np.unique(labels[near], return_index=True)
+            out += [(int(i), int(j)) for j in near[first]]
+            labels[np.isin(labels, other)] = labels[i]
+    return out
+
+
+def _rest(base: DataFrame, at: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The links (a, b) among all members of a bucket that lie in different components.
+
+    at: bucket, key, size, root.  Two members alone have met in the first round of centres.
+    Large buckets that share members become one group, and buckets of equal members one.  A
+    group's largest component meets the other members only, not itself.
+    """
+    from vellum.llm.simhash_dedup import components
+
+    spark = base.sparkSession
+    facts = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("key").alias("least"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("mark"))
+    facts = common.stage(facts.filter("n > 2 and r0 <> r1"), "rest")
+    many = facts.filter(F.col("n") > BLOCK)
+    small = at.join(facts.filter(F.col("n") <= BLOCK).groupBy("n", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "bucket")
+    if many.take(1):
+        joined = common.stage(components(at.join(many.select("bucket", "least"), "bucket").select(F.col("least").alias("a"), F.col("key").alias("b"))), "components")
+        grouped = small.select("bucket", "key", "n").join(joined.select("node", F.col("root").alias("g")), F.col("key") == F.col("node"))
+        inside = grouped.groupBy("bucket", "n").agg(F.count("*").alias("m"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("m = n and g0 = g1").select("bucket")
+        small = small.join(inside, "bucket", "left_anti")
+        large = at.select("key", "size", "root").dropDuplicates(["key"]).join(joined.select(F.col("node").alias("key"), F.col("root").alias("group")), "key").withColumn("large", F.lit(True))
+    else:
+        large = spark.createDataFrame([], "key long, size long, root long, group long, large boolean")
+    member = small.select("key", "size", "root", F.col("bucket").alias("group"), F.lit(False).alias("large")).unionByName(large.select("key", "size", "root", "group", "large"))
+    member = common.stage(member, "members")
+    per_root = member.groupBy("group", "large", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    of = per_root.groupBy("group", "large").agg(F.max(F.struct("n", "s", "root")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    of = of.filter(F.col("n") > F.col("main.n")).select("group", "large", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("main_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("other_blocks"))
+    j = member.join(of, ["group", "large"])
+    is_main = F.col("root") == F.col("main")
+    h = F.xxhash64("key", F.lit("block"))
+    j = j.withColumn("own", F.when(is_main, F.col("other_blocks") + F.pmod(h, "main_blocks").cast("int")).otherwise(F.pmod(h, "other_blocks").cast("int")))
+    meets = F.sequence(F.lit(0), F.when(is_main, F.col("other_blocks") - 1).otherwise(F.col("other_blocks") + F.col("main_blocks") - 1))
+    j = j.select("group", "large", "key", "root", "own", F.explode(meets).alias("o")).select("group", "large", "key", "root", "own", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
+    dealt = base.withColumnRenamed("key", "k").join(j, F.col("k") == F.col("key")).select("group", "large", "x", "y", "key", "root", "own", "text")
+    dealt = dealt.repartition(common.partitions(base), "group", "large", "x", "y").sortWithinPartitions("group", "large", "x", "y")
+
+    def solve(at, rows):
+        sets = [r[3] for r in rows]
+        own = np.array([r[2] for r in rows])
+        left, right = np.flatnonzero(own == at[2]), np.flatnonzero(own == at[3])
+        if not len(left) or not len(right):
+            return []
+        found = similar_pairs(sets, left, right, np.array([r[1] for r in rows], np.int64), similarity)
+        return [(rows[i][0], rows[j][0]) for i, j in found]
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            out = []
+            for *here, key, root, own, text in zip(*(c.to_pylist() for c in batch.columns[:7]), batch.column(7), strict=True):
+                if here != now:
+                    out += solve(now, rows) if rows else []
+                    now, rows = here, []
+                s = shingle_set(text.as_py(), shingle)
+                if len(s):
+                    rows.append((key, root, own, s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        if rows:
+            out = solve(now, rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return common.stage(dealt.mapInArrow(run, "a long, b long"), "verified")
+
+
 def links(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """(a, b): pairs of keys that connect all texts found similar, and all equal texts.
 
@@ -129,16 +226,20 @@ def links(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id",
     copies = sketches.groupBy("copy").agg(F.min("key").alias("key"))
     equal = sketches.join(copies.withColumnRenamed("key", "a"), "copy").filter("key <> a").select("a", F.col("key").alias("b"))
     distinct = sketches.join(copies.select("key"), "key", "left_semi")
-    bucket = distinct.select("key", F.explode("bands").alias("bucket"))
+    bucket = distinct.select("key", "size", F.explode("bands").alias("bucket"))
     shared = bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     bucket = common.stage(bucket.join(shared.hint("shuffle_hash"), "bucket"), "buckets")
     found = common.stage(equal, "links")
     if known is not None:
         found = found.unionByName(known.select(F.col("component_id").alias("a"), F.col("key").alias("b")).filter("a <> b"))
     tested = None
-    for turn in range(ROUNDS):
+
+    def placed():
         comp = common.stage(components(found), "components")
-        at = bucket.join(comp, bucket.key == comp.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+        return bucket.join(comp, bucket.key == comp.node, "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
+
+    for turn in range(ROUNDS):
+        at = placed()
         order = F.xxhash64("key", F.lit(turn)) if turn else F.col("key")
         one = at.groupBy("bucket", "root").agg(F.min_by("key", order).alias("key"))
         centre = one.groupBy("bucket").agg(F.min_by("key", order).alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
@@ -148,7 +249,7 @@ def links(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id",
         pairs = common.stage(pairs, "pairs")
         new = common.stage(_verified(base, pairs.select("a", "b"), similarity, shingle), "verified")
         if not new.take(1):
-            break
+            return found.unionByName(_rest(base, at, similarity, shingle))
         found = found.unionByName(new)
         tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
-    return found
+    return found.unionByName(_rest(base, placed(), similarity, shingle))
