@@ -221,6 +221,19 @@ def test_html():
     assert page_text(None) == page_text("") == ""
 
 
+def test_html_tables_keep_misplaced_text():
+    from vellum.llm.html_text import page_text
+
+    assert page_text("<table><tr><form><td>x</td><td>y</td></form></tr></table>") == "x  y"
+    assert page_text("<table><tr>text<td>x</table>") == "text\nx"
+    assert page_text("<table><tr><p>one <b>two</b></p></tr><tr><td>x</table>") == "one two\nx"
+    assert page_text("<table><tbody>some <i>text</i> here<tr><td>x</table>") == "some text here\nx"
+    assert page_text("<table><tbody><td>x<td>y<tr><td>z</table>") == "x  y\nz"
+    assert page_text("<table><td>a<td>b</table>") == "a  b"
+    assert page_text("<table><form>Name <tr><td>a<td hidden>no<td>b<tr><td>c</form></table>") == "Name\na  b\nc"
+    assert page_text("<table><caption>cap</caption><tr><td>a<table><tr><td>in</table><td>b</table>") == "cap\na   b\nin"
+
+
 def test_toxicity(spark):
     from vellum.llm.toxicity import score, train
 

@@ -46,10 +46,11 @@ MOST_DEPTH = 256
 
 
 class Node:
-    __slots__ = ("children", "hidden", "tag")
+    __slots__ = ("cells", "children", "hidden", "tag")
 
     def __init__(self, tag: str, hidden: bool = False):
         self.tag, self.hidden, self.children = tag, hidden, []
+        self.cells = False  # holds rows or cells of the table around it
 
 
 def _hidden(tag: str, attributes: str) -> bool:
@@ -117,6 +118,11 @@ def parse(source: str) -> Node:
                 stack.pop()
         node = Node(tag, _hidden(tag, m.group(3)))
         stack[-1].children.append(node)
+        if tag in ("tr", "td", "th"):
+            for n in reversed(stack):
+                if n.cells or n.tag == "table":
+                    break
+                n.cells = True
         if tag in VOID or (m.group(3).endswith("/") and tag not in BLOCK and tag not in RAW):
             continue
         if tag in RAW:
@@ -162,29 +168,68 @@ class _Lines:
             self.gap = 1
 
 
-def _cells(row: Node) -> list[Node]:
-    return [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden]
-
+def _parts(table: Node) -> tuple[list[Node], list[list[Node]]]:
+    """Captions and misplaced content, in their order, and the cells of each row.
 
-def _rows(table: Node):
-    for c in table.children:
-        if isinstance(c, Node) and not c.hidden:
-            if c.tag == "tr":
-                yield c
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(c)
+    Cells outside a row share one that is implied; rows and cells inside other elements, such
+    as a form, are taken out of them, and what is left of these is misplaced.
+    """
+    loose: list[Node] = []
+    rows: list[list[Node]] = []
+    implied = False  # the last row was implied by a cell and takes the next cell too
+
+    def misplaced(c) -> None:
+        nonlocal run
+        if run is None:
+            run = Node("div")
+            loose.append(run)
+        run.children.append(c)
+
+    run: Node | None = None  # neighbours in one holder, so that inline text stays together
+    stack = [(iter(table.children), False)]
+    while stack:
+        children, in_row = stack[-1]
+        c = next(children, None)
+        if c is None:
+            stack.pop()
+            run = None
+            if in_row and not (stack and stack[-1][1]):
+                implied = False
+        elif isinstance(c, str):
+            if c.strip() or run is not None:
+                misplaced(c)
+        elif c.hidden or c.tag in ("colgroup", "col") and not c.children:
+            continue
+        elif c.tag in ("td", "th"):
+            run = None
+            if not in_row and not implied:
+                rows.append([])
+                implied = True
+            rows[-1].append(c)
+        elif c.tag == "tr":
+            run = None
+            rows.append([])
+            implied = False
+            stack.append((iter(c.children), True))
+        elif c.tag in ("thead", "tbody", "tfoot", "colgroup"):
+            run = None
+            implied = False
+            stack.append((iter(c.children), False))
+        elif c.tag == "caption":
+            run = None
+            loose.append(c)
+        elif c.tag != "table" and c.cells:
+            run = None
+            stack.append((iter(c.children), in_row))
+        else:
+            misplaced(c)
+    return loose, rows
 
 
 def _table(node: Node, depth: int) -> list[str]:
-    out: list[str] = []
-    for c in node.children:
-        if isinstance(c, Node) and c.tag == "caption" and not c.hidden:
-            out += render(c, depth)
-        elif isinstance(c, str) and c.strip() or isinstance(c, Node) and not c.hidden and c.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"):
-            holder = Node("div")
-            holder.children = [c]
-            out += render(holder, depth)  # misplaced content stands before the rows
-    grid = [[render(c, depth) or [""] for c in _cells(r)] for r in _rows(node)]
+    loose, rows = _parts(node)
+    out = [x for c in loose for x in render(c, depth)]  # before the rows
+    grid = [[render(c, depth) or [""] for c in r] for r in rows]
     width: list[int] = []
     for row in grid:
         for i, cell in enumerate(row):
