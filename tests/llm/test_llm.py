@@ -234,6 +234,16 @@ def test_html_tables_keep_misplaced_text():
     assert page_text("<table><caption>cap</caption><tr><td>a<table><tr><td>in</table><td>b</table>") == "cap\na   b\nin"
 
 
+def test_html_of_any_depth():
+    from vellum.llm.html_text import page_text
+
+    deep = "<i>" * 5000
+    assert page_text(deep + "a<b hidden>no</b><div style='display:none'>no</div> b") == "a\nb".replace("\n", " ")
+    assert page_text("<b>" + deep + "<table><tr><td>x<td>y<tr><td>z</table>") == "x  y\nz"
+    assert page_text("<div hidden>" + "<div>" * 3000 + "no" + "</div>" * 3000 + "no</div>yes") == "yes"
+    assert page_text("<table><tr><td>" * 1500 + "in") == "in" and page_text("<ul><li>" * 300 + "in").endswith("- in")
+
+
 def test_toxicity(spark):
     from vellum.llm.toxicity import score, train
 

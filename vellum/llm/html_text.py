@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +43,6 @@ CLOSES = {
     "body": ({"head"}, {"html"}),
 }
 SCOPE = frozenset("table td th caption html button object".split())
-MOST_DEPTH = 256
 
 
 class Node:
@@ -72,7 +72,13 @@ def _hidden(tag: str, attributes: str) -> bool:
 def parse(source: str) -> Node:
     root = Node("html")
     stack = [root]
+    opened = Counter()  # the tags on the stack, so that deep stacks are searched only for what they hold
     at = 0
+
+    def close(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while True:
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
@@ -86,12 +92,12 @@ def parse(source: str) -> Node:
             continue
         tag = name.lower()
         if m.group(1):
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p"))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
@@ -100,22 +106,22 @@ def parse(source: str) -> Node:
             continue
         if tag in CLOSES:
             these, within = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in these) else ():
                 if stack[i].tag in within:
                     break
                 if stack[i].tag in these:
-                    del stack[i:]
+                    close(i)
                     if tag in ("li", "dt", "dd", "td", "th", "option"):
                         break
         elif tag in BLOCK:  # a block ends an open paragraph
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE:
                     break
             if stack[-1].tag == "head":
-                stack.pop()
+                close(len(stack) - 1)
         node = Node(tag, _hidden(tag, m.group(3)))
         stack[-1].children.append(node)
         if tag in ("tr", "td", "th"):
@@ -131,8 +137,9 @@ def parse(source: str) -> Node:
             if body:
                 node.children.append(html.unescape(body) if tag in ("title", "textarea") else body)
             at = end.end()
-        elif len(stack) < MOST_DEPTH:  # deeper elements are kept as siblings
+        else:
             stack.append(node)
+            opened[tag] += 1
 
 
 class _Lines:
@@ -226,10 +233,16 @@ def _parts(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return loose, rows
 
 
-def _table(node: Node, depth: int) -> list[str]:
+def _table(node: Node, depth: int):
     loose, rows = _parts(node)
-    out = [x for c in loose for x in render(c, depth)]  # before the rows
-    grid = [[render(c, depth) or [""] for c in r] for r in rows]
+    out: list[str] = []
+    for c in loose:  # before the rows
+        out += yield _render(c, depth)
+    grid: list[list[list[str]]] = []
+    for r in rows:
+        grid.append([])
+        for c in r:
+            grid[-1].append((yield _render(c, depth)) or [""])
     width: list[int] = []
     for row in grid:
         for i, cell in enumerate(row):
@@ -247,10 +260,25 @@ def _table(node: Node, depth: int) -> list[str]:
 
 
 def render(node: Node, depth: int = 0) -> list[str]:
-    """The lines of one element's content."""
+    """The lines of one element's content; generators on a list of their own stand for
+    recursion, so that pages may be of any depth."""
+    stack, value = [_render(node, depth)], None
+    while stack:
+        try:
+            below = stack[-1].send(value)
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+        else:
+            stack.append(below)
+            value = None
+    return value
+
+
+def _render(node: Node, depth: int):
     lines = _Lines()
 
-    def walk(n: Node, pre: bool) -> None:
+    def walk(n: Node, pre: bool):
         for c in n.children:
             if isinstance(c, str):
                 if pre:
@@ -276,29 +304,29 @@ def render(node: Node, depth: int = 0) -> list[str]:
                 lines.gap = 1
             elif c.tag == "table":
                 lines.block(True)
-                for x in _table(c, depth + 1):
+                for x in (yield _table(c, depth + 1)):
                     lines.put(x)
                 lines.block(True)
             elif c.tag in ("ul", "ol", "menu", "dl"):
                 lines.block(n.tag != "li" and n.tag not in ("ul", "ol", "menu"))
-                for x in _list(c, depth):
+                for x in (yield _list(c, depth)):
                     lines.put(x)
                 lines.block(n.tag != "li" and n.tag not in ("ul", "ol", "menu"))
             elif c.tag in BLOCK:
                 lines.block(c.tag in SPACED)
-                walk(c, pre or c.tag == "pre")
+                yield walk(c, pre or c.tag == "pre")
                 lines.block(c.tag in SPACED)
             else:
-                walk(c, pre or c.tag == "textarea")
+                yield walk(c, pre or c.tag == "textarea")
 
-    walk(node, node.tag == "pre")
+    yield walk(node, node.tag == "pre")
     lines.line()
     while lines.out and not lines.out[-1]:
         lines.out.pop()
     return lines.out
 
 
-def _list(node: Node, depth: int) -> list[str]:
+def _list(node: Node, depth: int):
     out: list[str] = []
     number = 0
     for c in node.children:
@@ -307,13 +335,13 @@ def _list(node: Node, depth: int) -> list[str]:
         if isinstance(c, Node) and c.tag == "li":
             number += 1
             mark = f"{number}. " if node.tag == "ol" else "- "
-            body = render(c, depth + 1)
+            body = yield _render(c, depth + 1)
             out += [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(body)]
         else:
             holder = Node("div")
             holder.children = [c]
             indent = "  " if isinstance(c, Node) and c.tag in ("dd", "ul", "ol", "menu") else ""
-            out += [indent + x for x in render(holder, depth + 1)]
+            out += [indent + x for x in (yield _render(holder, depth + 1))]
     return out
 
 
