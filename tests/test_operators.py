@@ -150,3 +150,27 @@ def test_literals_are_compared_in_normal_form(spark):
     items = spark.createDataFrame([(1, 1, "name", "A B"), (1, 1, "number", "7"), (2, 1, "name", "C")], "doc_id long, sentence int, kind string, text string")
     after = spark.createDataFrame([(1, "\uff21\u3000B")], "doc_id long, restored string")
     assert {(r.doc_id, r.text) for r in verify.literals_missing(items, after).collect()} == {(1, "7"), (2, "C")}
+
+
+def test_runs_verify_every_round_and_take_the_rewrite_after_the_judge(spark):
+    from vellum.plans.runner import run
+
+    docs = spark.createDataFrame([(i, "We raise 3 million. It works well. It is cheap.", "polish", None) for i in range(1, 8)], "doc_id long, text string, request string, file_path string")
+    patch = lambda x: f"<<<PATCH>>>\n{x}\n<<<END>>>\n<<<LEDGER>>>\n<<<END>>>"
+    judge = lambda x: f"<<<JUDGE>>>\n| b | r | i | n |\n|---|---|---|---|\n| [2] | {x} | | |\n<<<END>>>"
+    good, bad = patch("[2] -> It works nicely."), patch("[9] -> x")
+    rows = [(1, "rewrite", 1, patch("[1] -> We raise money.")), (2, "rewrite", 1, good), (3, "rewrite", 1, patch("[2] -> It works well!"))]
+    rows += [(4, "rewrite", 1, bad), (4, "rewrite", 2, bad), (4, "rewrite", 3, good), (4, "judge", 3, judge("失真")), (4, "rewrite", 4, patch("[2] -> It works fine.")), (4, "judge", 4, judge("通过"))]
+    rows += [(5, "rewrite", 1, good), (5, "judge", 1, judge("失真")), (5, "rewrite", 2, bad), (6, "rewrite", 1, good), (6, "judge", 1, judge("失真"))]
+    rows += [(7, "rewrite", i, bad) for i in (1, 2, 3)] + [(7, "rewrite", 4, good)]
+    got = {r.doc_id: (r.status, r.rounds, "nicely" in r.output_text, "fine" in r.output_text, r.partial) for r in run(docs, spark.createDataFrame(rows, "doc_id long, step string, round int, raw string"), {"en": {"qualifiers": ["nothing"], "patterns": [("r", "zzz")]}}).collect()}
+    assert got == {
+        1: ("fail", 1, False, False, True), 2: ("pass", 1, True, False, False), 3: ("pass_with_signals", 1, False, False, False),
+        4: ("pass", 4, False, True, False), 5: ("pass", 2, True, False, True), 6: ("pass", 1, True, False, True), 7: ("fail", 3, False, False, True),
+    }
+
+
+def test_runs_equal_their_sql(spark):
+    want = duckdb.sql(queries.SQL["runs"])
+    names = [d[0] for d in want.description]
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[n] for n in names)) for r in queries.QUERIES["runs"](spark, SF).collect())
