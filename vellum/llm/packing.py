@@ -13,7 +13,6 @@ import bisect
 import functools
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ def _default_path() -> str:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> tokens.PieceEncoder:
-    return tokens.PieceEncoder(path, tokens.byte_pieces, tokens.pretoken_splitter(False))
+    return tokens.PieceEncoder(path, False)
 
 
 class OpenWindows:
@@ -74,16 +73,12 @@ class OpenWindows:
         return left
 
 
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
-
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     cols = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-#: A sequence id is the merge round, the task and a running number.
+#: A sequence id is the merge round, the task or group, and a running number.
 def _sequence(round_no: int, task: int, k: int) -> int:
     return round_no << 56 | task << 28 | k
 
@@ -123,43 +118,55 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         bins, schema = OpenWindows(window, open_windows, emit), None
         for b in batches:
             schema = schema or arrow(b.column(0).type)
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keys, texts = b.column(0).to_pylist(), b.column(1)
             for i, j in tokens.chunks(texts):
-                for k, ids in zip(keys[i:j], enc.encode(texts[i:j]), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for s in range(0, len(ids), window):
-                        part = ids[s : s + window]
-                        bins.place((k, s, _crc(part), len(ids)), len(part))
+                ids, sizes = tokens.with_end(*enc.encode(texts.slice(i, j - i)), END_ID)
+                data, at = memoryview(ids.astype("<u4").tobytes()), 0
+                for k, n in zip(keys[i:j], sizes.tolist(), strict=True):
+                    for s in range(0, n, window):
+                        size = min(window, n - s)
+                        bins.place((k, s, zlib.crc32(data[4 * (at + s) : 4 * (at + s + size)]), n), size)
+                    at += n
                 if rows:
                     yield _rows(schema, rows)
                     rows.clear()
         for w, content in bins.close():
             emit(w, content, True)
+        enc.rest()
         if rows:
             yield _rows(schema, rows)
 
     def again(round_no: int, last: bool):
         def merge(batches):
-            task = TaskContext.get().partitionId()
             rows: list[tuple] = []
 
-            def emit(w, content, left=False):
-                at = 0
-                for (k, s, crc, total), n in content:
-                    rows.append((k, s, n, crc, total, _sequence(round_no, task, w), at, left))
-                    at += n
-
-            got, schema = [], None
-            for b in batches:  # bounded: MERGE_FAN_IN groups of leftovers
+            def solve(group: int, got: list[tuple]):
+                def emit(w, content, left=False):
+                    at = 0
+                    for (k, s, crc, total), n in content:
+                        rows.append((k, s, n, crc, total, _sequence(round_no, group, w), at, left))
+                        at += n
+
+                got.sort(key=lambda x: (-x[2], x[3], x[1]))
+                bins = OpenWindows(window, max(open_windows, 1) if not last else 1 << 30, emit)
+                for k, s, n, crc, total in got:
+                    bins.place((k, s, crc, total), n)
+                for w, content in bins.close():
+                    emit(w, content, not last)
+
+            now, got, schema = None, [], None
+            for b in batches:  # sorted by group; one group's leftovers are held, at most MERGE_FAN_IN times the open windows
                 schema = schema or arrow(b.column(0).type)
-                got += zip(*[b.column(i).to_pylist() for i in range(5)], strict=True)
-            got.sort(key=lambda x: (-x[2], x[3], x[1]))
-            bins = OpenWindows(window, max(open_windows, 1) if not last else 1 << 30, emit)
-            for k, s, n, crc, total in got:
-                bins.place((k, s, crc, total), n)
-            for w, content in bins.close():
-                emit(w, content, not last)
-            if rows:
+                for *row, group in zip(*[b.column(i).to_pylist() for i in range(5)], b.column(b.num_columns - 1).to_pylist(), strict=True):
+                    if group != now and got:
+                        solve(now, got)
+                        got = []
+                        yield _rows(schema, rows)
+                        rows.clear()
+                    now = group
+                    got.append(tuple(row))
+            if got:
+                solve(now, got)
                 yield _rows(schema, rows)
 
         return merge
@@ -177,8 +184,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         done.append(now.filter("NOT left"))
         last = groups == 1
         group = F.floor(shift / MERGE_FAN_IN).cast("int")
-        # a group of tasks to a partition of its own; the number of groups falls each round
-        merged = left.select(*names, group.alias("__g")).repartition(groups, "__g").drop("__g")
+        # a task solves its groups one after the other; the number of groups falls each round
+        merged = left.select(*names, group.alias("__g")).repartition(groups, "__g").sortWithinPartitions("__g")
         now = common.stage(merged.mapInArrow(again(round_no, last), out), "pack") if not last else merged.mapInArrow(again(round_no, last), out)
         if last:
             done.append(now)

@@ -8,17 +8,15 @@ only the remaining pre-tokens go through the library's merges.
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import common, tokens
 
-#: The vocabulary's pre-token pattern (fixed by the tokenizer file).
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_OF_WORD = "</w>"
 
 
@@ -41,46 +39,31 @@ def prove_whole_tokens(tok) -> frozenset[str]:
     return frozenset(s for s, e in zip(names, tok.encode_batch(names, add_special_tokens=False), strict=True) if s and len(e.ids) == 1)
 
 
-class Counter:
-    """Counts tokens of white-space pieces; bounded cache of what needed merging."""
+class Counter(tokens.PieceEncoder):
+    """Counts tokens: proven pre-tokens directly, only the rest by the library's merges."""
 
     def __init__(self, path: str, limit: int = tokens.CACHE_PIECES):
-        import regex
-
-        self.tok, self.limit, self.pattern = tokens.load(path), limit, regex.compile(PRETOKEN)
+        super().__init__(path, True, limit)
         self.whole = prove_whole_tokens(self.tok)
-        self.counts: dict[str, int] = dict.fromkeys(self.whole, 1)
-
-    def _learn(self, new: list[str]) -> None:
-        rest: list[str] = []
-        owner: list[str] = []
-        for piece in new:
-            if max(piece) >= "\u0250" or "<|" in piece or unicodedata.normalize("NFC", piece) != piece:
-                # outside plain Latin, or changed by normalization: the library decides
-                self.counts[piece] = 0
-                rest.append(piece)
-                owner.append(piece)
-                continue
-            n = 0
-            for pre in self.pattern.findall(piece.lower()):
-                if pre in self.whole:
-                    n += 1
-                else:
-                    rest.append(pre)
-                    owner.append(piece)
-            self.counts[piece] = n
-        for piece, e in zip(owner, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.counts[piece] += len(e.ids)
-
-    def count(self, texts: list[str]) -> list[int]:
-        if len(self.counts) > self.limit + len(self.whole):
-            self.counts = dict.fromkeys(self.whole, 1)
-        split = [tokens.word_pieces(t) for t in texts]
-        counts = self.counts
-        if new := list({p: None for ps in split for p in ps if p not in counts}):
-            self._learn(new)
-        get = counts.__getitem__
-        return [sum(map(get, ps)) for ps in split]
+
+    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        proven = np.fromiter((p in self.whole for p in parts), bool, len(parts))
+        n = np.ones(len(parts), np.int64)
+        if rest := [p for p in parts if p not in self.whole]:
+            n[~proven] = super()._joined(rest)[1]
+        return np.zeros(0, np.uint32), n
+
+    def count(self, texts: list[str] | pa.Array) -> np.ndarray:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        k, pieces, counts = self.cut(texts)
+        each = np.zeros(len(pieces), np.int64)
+        for mask, store, idx, parts in self._classes(pieces):
+            total = np.concatenate([[0], np.cumsum(store.length[idx])])
+            each[mask] = np.diff(total[np.cumsum(parts)], prepend=0)
+        total = np.concatenate([[0], np.cumsum(each[k])])
+        return np.diff(total[np.cumsum(counts)], prepend=0)
 
 
 @functools.lru_cache(maxsize=2)
@@ -110,11 +93,11 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str | None = No
     def run(batches):
         counter = _counter(path)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            n = [x for i, j in tokens.chunks(texts) for x in counter.count(texts[i:j])]
-            size = [len(t) if t.isascii() else len(t.encode()) for t in texts]
-            n = np.array(n, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)], [*carried, *added])
+            texts = b.column(b.num_columns - 1)
+            n = np.concatenate([counter.count(texts.slice(i, j - i)) for i, j in tokens.chunks(texts)] or [np.zeros(0, np.int64)])
+            size = pc.binary_length(texts).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, pa.array(n), pa.array(n > limit)], [*carried, *added])
+        counter.rest()
 
     schema = base.select(*[F.col(f"`{c}`") for c in carried], F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("over_limit")).schema
     return source.mapInArrow(run, schema)
