@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index blocks, exact check.
 
-1. Shingles of the benchmark select document positions (a join on the shingle's hash).  A
-   window similar enough to an item holds at least `threshold` of the item's shingles, so
-   windows with fewer such positions are left out without loss.
+1. A window of an item's length that is similar enough to it holds at least `threshold` of
+   the item's shingles.  Shingles of the benchmark, joined with the lengths of the items that
+   hold them, select document positions; windows of a length with fewer positions of that
+   length are left out without loss.
 2. Each remaining window, one item long (shorter at a text's end), gets a SimHash from the
    counts of its shingles.
 3. Fingerprints are cut into BLOCKS blocks.  Two fingerprints within RADIUS bits agree in
@@ -10,13 +11,12 @@
    the equi-join on blocks returns every pair within RADIUS.
 4. The weighted Jaccard similarity (weights: counts of shingles) decides.
 
-DataFrame and SQL operations only.
+Shingles are compared by their 64-bit hashes.  DataFrame and SQL operations only.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,10 @@ from vellum.llm import common
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-BLOCKS, RADIUS = 4, 15
+#: A window of similarity 0.8 lies 10 bits away on average, and beyond 19 about once in 2,000.
+BLOCKS, RADIUS = 4, 19
+#: Window starts of a text that share one slice of its shingles.
+STARTS = 64
 #: Most rows of (key, hash) or (shingle) that are broadcast, 16 to 24 bytes each; beyond it
 #: the same join is made by shuffle.
 BROADCAST_ROWS = 200_000
@@ -39,20 +42,26 @@ def _small(df: DataFrame) -> DataFrame:
 def _shingles(df: DataFrame, text: str, k: int) -> DataFrame:
     """Adds __n (words) and __h (hashes of the k-word shingles; of the whole if shorter)."""
     df = df.withColumn("__w", common.words_of(F.lower(F.coalesce(F.col(text), F.lit(""))))).withColumn("__n", F.size("__w"))
-    shifted = F.arrays_zip("__w", *[F.slice("__w", j + 1, F.greatest(F.col("__n") - j, F.lit(0))) for j in range(1, k)])
-    windows = F.transform(F.slice(shifted, 1, F.greatest(F.col("__n") - (k - 1), F.lit(0))), lambda x: F.xxhash64(x))
+    at = F.when(F.col("__n") >= k, F.sequence(F.lit(0), F.col("__n") - k)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(at, lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(k)]))
     whole = F.when((F.col("__n") > 0) & (F.col("__n") < k), F.array(F.xxhash64(F.col("__w")))).otherwise(F.array().cast("array<bigint>"))
     return df.withColumn("__h", F.concat(windows, whole)).drop("__w")
 
 
 def _fingerprints(windows: DataFrame, by: list[str], hashes: str, longest: int) -> DataFrame:
     """One row for each `by`: fp, the majority bits over the shingles of the array."""
-    lane = 16 if longest < 32_000 else 32
+    lane = 8 if longest < 256 else 16 if longest < 32_000 else 32
     each = 64 // lane
-    spread = sum(1 << ((lane - 1) * i) for i in range(each))
-    mask = sum(1 << (lane * i) for i in range(each))
-    rows = windows.select(*by, F.explode(hashes).alias("__x"))
-    sums = [F.sum((F.shiftright("__x", each * j).bitwiseAND(F.lit((1 << each) - 1)) * F.lit(spread)).bitwiseAND(F.lit(mask))).alias(f"__s{j}") for j in range(64 // each)]
+
+    def spread(first: int, bits: int) -> Column:
+        """The bits from `first` on, each at the foot of a lane of its own."""
+        if bits > 4:  # more would overlap in the product
+            return spread(first, 4).bitwiseOR(F.shiftleft(spread(first + 4, bits - 4), 4 * lane))
+        product = F.shiftright("__x", first).bitwiseAND(F.lit((1 << bits) - 1)) * F.lit(sum(1 << ((lane - 1) * i) for i in range(bits)))
+        return product.bitwiseAND(F.lit(sum(1 << (lane * i) for i in range(bits))).cast("long"))
+
+    rows = windows.select(*by, F.explode_outer(hashes).alias("__x"))
+    sums = [F.sum(spread(each * j, each)).alias(f"__s{j}") for j in range(64 // each)]
     got = rows.groupBy(*by).agg(F.count("*").alias("__c"), *sums)
     halves = []
     for b in range(64):
@@ -77,7 +86,7 @@ def _item_blocks(items: DataFrame, radius: int) -> DataFrame:
     flips = [sum(1 << i for i in c) for r in range(radius // BLOCKS + 1) for c in itertools.combinations(range(width), r)]
     spark = items.sparkSession
     masks = F.broadcast(spark.createDataFrame([(b, m) for b in range(BLOCKS) for m in flips], "__b int, __m int"))  # a fixed table
-    blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("__k")
+    blocks = F.explode_outer(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("__k")
     cut = items.select("item", "fp", "__n", blocks).select("item", "fp", "__n", F.col("__k.b").alias("__b"), F.col("__k.v").alias("__v"))
     return cut.join(masks, "__b").select("item", F.col("__n").alias("__len"), F.col("fp").alias("item_fp"), "__b", F.col("__v").bitwiseXOR(F.col("__m").cast("long")).alias("__v"))
 
@@ -87,7 +96,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     document for each item that it holds with at least the threshold's similarity.
 
     Texts are lowered and split into words at ASCII white space.  Null and empty texts and items
-    match nothing.  A text or item shorter than a shingle is one shingle, so a short item
+    match nothing; an empty table of either gives no rows.  Other columns play no part.  A very
+    long text costs memory in proportion to its length.  A text or item shorter than a shingle is one shingle, so a short item
     is found only where it is the whole text.  Null keys are matched like others; repeated
     rows give one result.  Of equal similarities the first window counts, then the longer.
     """
@@ -97,48 +107,47 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     items = common.stage(b, "items")
     longest = items.agg(F.max("__n")).first()[0] or 0
 
-    # 1. positions whose shingle occurs in the benchmark
-    known = items.select(F.explode("__h").alias("__x")).distinct()
+    # 1. positions whose shingle occurs in the benchmark, with the lengths of its items.  (An
+    # inner explode would make Spark compute the shingles a second time, in a filter below.)
+    known = items.select("__n", F.explode_outer("__h").alias("__x")).groupBy("__x").agg(F.collect_set("__n").alias("__lens"))
     tagged = d.withColumn("text_hash", F.xxhash64("__text"))
-    rows = _shingles(tagged, "__text", k).select("key", "text_hash", "__n", F.posexplode("__h").alias("__p", "__x"))
-    hit = rows.join(_small(known), "__x", "left_semi").groupBy("key", "text_hash", "__n").agg(F.sort_array(F.collect_set("__p")).alias("__ps"))
-    # the item lengths, one row each: their number is that of distinct lengths
-    lengths = items.groupBy(F.col("__n").alias("__len")).agg(F.lit(1).alias("__one"))
+    rows = _shingles(tagged, "__text", k).select("key", "text_hash", "__n", F.posexplode_outer("__h").alias("__p", "__x"))
+    met = rows.join(_small(known), "__x").select("key", "text_hash", "__n", "__p", F.explode_outer("__lens").alias("__len"))
+    hit = met.groupBy("key", "text_hash", "__n", "__len").agg(F.sort_array(F.collect_set("__p")).alias("__ps"))
     need = F.ceil(F.lit(threshold) * F.greatest(F.col("__len") - (k - 1), F.lit(1)) - 1e-9).cast("int")
-    lens = [r["__len"] for r in lengths.toLocalIterator()]
-    needs = {n: math.ceil(threshold * max(n - (k - 1), 1) - 1e-9) for n in lens}
-    least = min(needs.values(), default=1)
-    hit = common.stage(hit.filter(F.size("__ps") >= least), "positions")
-
-    # windows: starts s with the need-th next position still inside
-    w = hit.select("key", "text_hash", "__n", "__ps", F.explode(F.array(*[F.lit(int(n)) for n in lens]) if lens else F.array().cast("array<int>")).alias("__len"))
-    w = w.withColumn("__need", need).filter(F.size("__ps") >= F.col("__need"))
-    first = F.transform(
+    hit = hit.withColumn("__need", need).filter(F.size("__ps") >= F.col("__need"))
+
+    # windows: starts s with the need-th next position still inside, each start once
+    p = lambda i: F.get("__ps", i)
+    last = F.greatest(F.col("__len") - k, F.lit(0))
+    runs = F.transform(
         F.sequence(F.lit(0), F.size("__ps") - F.col("__need")),
-        lambda i: F.when(
-            F.col("__ps")[i + F.col("__need") - 1] - F.col("__ps")[i] <= F.greatest(F.col("__len") - k, F.lit(0)),
-            F.sequence(F.greatest(F.col("__ps")[i + F.col("__need") - 1] - F.greatest(F.col("__len") - k, F.lit(0)), F.lit(0)), F.col("__ps")[i]),
-        ).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.greatest(p(i + F.col("__need") - 1) - last, F.when(i > 0, p(i - 1) + 1).otherwise(0)).alias("lo"), p(i).alias("hi")),
     )
-    w = w.withColumn("__s", F.array_distinct(F.flatten(first))).filter(F.size("__s") > 0)
-    windows = common.stage(w.groupBy("key", "text_hash").agg(F.collect_list(F.struct("__len", "__s")).alias("__ws")), "windows")
+    w = hit.select("key", "text_hash", "__len", F.explode_outer(F.filter(runs, lambda r: r["lo"] <= r["hi"])).alias("__r")).filter("__r IS NOT NULL")
+    w = w.select("key", "text_hash", "__len", F.explode_outer(F.sequence("__r.lo", "__r.hi")).alias("start"))
+    groups = w.groupBy("key", "text_hash", "__len", F.floor(F.col("start") / STARTS).cast("int").alias("__b")).agg(F.collect_list("start").alias("__s"))
+    windows = common.stage(groups.groupBy("key", "text_hash").agg(F.collect_list(F.struct("__len", "__b", "__s")).alias("__ws")), "windows")
 
-    # their shingles, from the texts that have some window
+    # their shingles, from the texts that have some window: a slice for each group of starts
     wanted = windows.select(F.col("key").alias("__k"), F.col("text_hash").alias("__t"))
     some = tagged.join(_small(wanted), tagged["key"].eqNullSafe(F.col("__k")) & (tagged["text_hash"] == F.col("__t")), "left_semi").dropDuplicates(["key", "text_hash"])
     some = _shingles(some, "__text", k).drop("__text")
     own = windows.select(F.col("key").alias("__k"), F.col("text_hash").alias("__t"), "__ws")
     joined = some.join(own, some["key"].eqNullSafe(own["__k"]) & (some["text_hash"] == own["__t"])).drop("__k", "__t")
-    each = joined.select("key", "text_hash", "__n", "__h", F.explode("__ws").alias("__g")).select("key", "text_hash", "__n", "__h", F.col("__g.__len").alias("__len"), F.explode("__g.__s").alias("start"))
-    size = F.least(F.col("__len"), F.col("__n") - F.col("start"))
-    each = each.withColumn("n_words", size).withColumn("__sh", F.slice("__h", F.col("start") + 1, F.greatest(F.col("n_words") - (k - 1), F.lit(1))))
-    each = common.stage(each.select("key", "text_hash", "start", "__len", "n_words", "__sh"), "windows")
+    slices = F.transform("__ws", lambda g: F.struct(g["__len"].alias("l"), g["__b"].alias("b"), g["__s"].alias("s"), F.slice("__h", g["__b"] * STARTS + 1, g["__len"] + STARTS).alias("h")))
+    part = joined.select("key", "text_hash", "__n", F.explode_outer(slices).alias("__g")).select("key", "text_hash", "__n", F.col("__g.l").alias("__len"), F.col("__g.b").alias("__b"), F.col("__g.s").alias("__s"), F.col("__g.h").alias("__h"))
+    part = common.stage(part, "windows")
+    each = part.select("key", "text_hash", "__n", "__len", "__b", "__h", F.explode_outer("__s").alias("start"))
+    each = each.withColumn("n_words", F.least(F.col("__len"), F.col("__n") - F.col("start")))
+    sh = F.slice("__h", F.col("start") - F.col("__b") * STARTS + 1, F.greatest(F.col("n_words") - (k - 1), F.lit(1)))
+    each = each.select("key", "text_hash", "start", "__len", "n_words", sh.alias("__sh"))
 
     # 2. and 3. fingerprints and blocks
     by = ["key", "text_hash", "start", "__len"]
     fps = _fingerprints(each, by, "__sh", longest)
     item_fps = _fingerprints(items, ["item"], "__h", longest)
-    blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("__k")
+    blocks = F.explode_outer(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("__k")
     cut = fps.select(*by, "fp", blocks).select(*by, "fp", F.col("__k.b").alias("__b"), F.col("__k.v").alias("__v"))
     sized = item_fps.join(items.select("item", "__n"), "item")
     near = cut.join(_item_blocks(sized, radius), ["__len", "__b", "__v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
@@ -156,9 +165,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
-    found = common.stage(matches(docs, benchmark, key, text, **options).select(F.col(key).alias("__k"), F.col("text_hash").alias("__t")).distinct(), "leaks")
-    return docs.join(_small(found), docs[key].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__t")), "left_anti")
+    """The rows of docs that hold no benchmark item, with all their columns, whatever their names."""
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{key}`").alias("__key"), F.xxhash64(F.col(f"`{text}`")).alias("__hash"))
+    narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    found = common.stage(matches(narrow, benchmark, "key", "text", **options).select(F.col("key").alias("__k"), F.col("text_hash").alias("__t")).distinct(), "leaks")
+    left = base.join(_small(found), F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__t")), "left_anti")
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def oracle_sql() -> str:
