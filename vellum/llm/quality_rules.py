@@ -2,16 +2,20 @@
 
 Statistics of each text are transformed to a vector; for each (language, source), each
 language and the whole table a minimum-covariance-determinant estimate is made from the
-texts that pass the base limits: start at medians and quartile spreads, then concentration
-steps that refit mean and covariance on the share SUPPORT of smallest distances.  A text
-is rejected if its Mahalanobis distance under its group exceeds CUTOFF.  Groups of fewer
-than LEAST_GROUP texts use their language, small languages the table; a table that is too
-small rejects nothing.  Quantiles come from exact counts on a fixed fine grid, so they
-need neither a sort nor a sketch.  DataFrame and SQL operations only.
+texts that pass the base limits.  From STARTS, centres at the quartiles, concentration steps
+refit mean and covariance on the share SUPPORT of smallest distances, each until its
+determinant stops falling; the estimate of least determinant is taken.  A group's estimate
+is shrunk towards that of its language, and a language's towards the whole table's, as if
+SHRINK texts more had come from there, so that small groups need no rule of their own; the
+table is shrunk towards a spread so wide that a few texts reject nothing.  A text is
+rejected if its Mahalanobis distance under its group's estimate exceeds CUTOFF.  Quantiles
+come from exact counts on a fixed fine grid, so they need neither a sort nor a sketch.
+DataFrame and SQL operations only.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame
@@ -25,10 +29,16 @@ LEAST_WORDS = 10
 #: A text fails if over this share (percent) of its words lie in repeated windows.
 MOST_REPEAT_PERCENT = 20
 SUPPORT = 0.6
-STEPS = 3
-LEAST_GROUP = 100
+#: Quantiles of each coordinate at which the starts have their centres.
+STARTS = (0.5, 0.25, 0.75)
+#: Least fall of a determinant's logarithm that counts.
+FALL = 1e-6
+#: Weight of the parent's estimate, in texts.
+SHRINK = 100
 #: The chi-squared quantiles of 4 degrees of freedom at SUPPORT and at one in a million.
 CHI2_SUPPORT, CUTOFF = 4.0446, 33.377
+#: Most rows of (group, estimate) or of rejected texts that are broadcast, 200 bytes each.
+BROADCAST_ROWS = 100_000
 #: Steps of the grids on which quantiles are counted: of a vector's value, of ln(1 + distance).
 VALUE_GRID, DISTANCE_GRID = 200, 50
 #: Transformed statistics and the spread that is always granted to each.  Word length is
@@ -44,17 +54,27 @@ X = list(FEATURES)
 
 #: Mean and covariance from counts and sums, then its Cholesky factor, in evaluation order.
 MOMENTS = [("n", "COUNT(*)")] + [(f"s{i}", f"SUM(x{i})") for i in (1, 2, 3, 4)] + [(f"s{i}{j}", f"SUM(x{i} * x{j})") for i in (1, 2, 3, 4) for j in range(1, i + 1)]
-FACTOR = [(f"m{i}", f"s{i} / n") for i in (1, 2, 3, 4)]
-FACTOR += [(f"c{i}{j}", f"s{i}{j} / n - m{i} * m{j}" + (f" + {FEATURES[f'x{i}'][1] ** 2:.6f}D" if i == j else "")) for i in (1, 2, 3, 4) for j in range(1, i + 1)]
+MEANS = [(f"m{i}", f"s{i} / n") for i in (1, 2, 3, 4)]
+PAIRS = [(i, j) for i in (1, 2, 3, 4) for j in range(1, i + 1)]
+SPREAD = [(f"c{i}{j}", f"s{i}{j} / n - m{i} * m{j}" + (f" + {FEATURES[f'x{i}'][1] ** 2:.6f}D" if i == j else "")) for i, j in PAIRS]
+FACTOR = []
 for _j in (1, 2, 3, 4):
     _minus = "".join(f" - l{_j}{k} * l{_j}{k}" for k in range(1, _j))
     FACTOR.append((f"l{_j}{_j}", f"sqrt(greatest(c{_j}{_j}{_minus}, 1e-12D))"))
     for _i in range(_j + 1, 5):
         _minus = "".join(f" - l{_i}{k} * l{_j}{k}" for k in range(1, _j))
         FACTOR.append((f"l{_i}{_j}", f"(c{_i}{_j}{_minus}) / l{_j}{_j}"))
-PARAMS = [f"m{i}" for i in (1, 2, 3, 4)] + [f"l{i}{j}" for i in (1, 2, 3, 4) for j in range(1, i + 1)]
+DETERMINANT = [("det", "ln(l11) + ln(l22) + ln(l33) + ln(l44)")]
+M, C, L = [f"m{i}" for i in (1, 2, 3, 4)], [f"c{i}{j}" for i, j in PAIRS], [f"l{i}{j}" for i, j in PAIRS]
+PARAMS = M + L
 DISTANCE = [(f"z{i}", f"(x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(1, i)) + f") / l{i}{i}") for i in (1, 2, 3, 4)]
 DISTANCE += [("d2", "z1 * z1 + z2 * z2 + z3 * z3 + z4 * z4"), ("bin", f"CAST(floor(ln(1.0D + d2) * {DISTANCE_GRID}) AS BIGINT)")]
+#: The table's parent: its own centre, and spreads so wide that they reject nothing.
+PRIOR = {f"pm{i}": f"m{i}" for i in (1, 2, 3, 4)} | {f"pc{i}{j}": f"{(5 * FEATURES[f'x{i}'][1]) ** 2:.6f}D" if i == j else "0.0D" for i, j in PAIRS} | {"pscale": "1.0D"}
+#: From an estimate and its parent's (p...), the shrunk one (q...).
+SHRUNK = [(f"q{v}", f"(n * {v} + {SHRINK} * p{v}) / (n + {SHRINK})") for v in (*M, "scale")]
+SHRUNK += [(f"qc{i}{j}", f"(n * c{i}{j} + {SHRINK} * pc{i}{j}) / (n + {SHRINK}) + (m{i} - pm{i}) * (m{j} - pm{j}) * (n / (n + {SHRINK})) * ({SHRINK} / (n + {SHRINK}))") for i, j in PAIRS]
+SHRUNK_NAMES = [*M, *C, "scale"]
 
 
 def _steps(df: DataFrame, exprs: list[tuple[str, str]]) -> DataFrame:
@@ -70,46 +90,82 @@ def _threshold(hist: DataFrame, by: list[str], value: str, shares: dict[str, flo
     return c.groupBy(*by).agg(*[F.min(F.when(F.col("__c") >= share * F.col("__n"), F.col(value))).alias(name) for name, share in shares.items()])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast only if it was counted to be small; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _histogram(x: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and moments of the rows by their distance's bin under each estimate."""
+    return _steps(x.join(_small(params), "g"), DISTANCE).groupBy(*by, "bin").agg(*[F.expr(e).alias(k) for k, e in MOMENTS])
+
+
 def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Estimates by group: g (level and key), n, PARAMS and scale."""
+    """Estimates by group: g (level and key), n, M, C, scale, before shrinkage."""
     x = stats.filter(f"NOT {BASE_FAILED}").select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), *[F.expr(e).alias(k) for k, (e, _) in FEATURES.items()])
-    x = x.select(F.explode(_levels_of("lang", "source")).alias("g"), *X)
+    x = x.select(F.explode_outer(_levels_of("lang", "source")).alias("g"), *X)
 
-    # start: medians and quartile spreads on the value grid
-    long = x.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(k) * VALUE_GRID + 0.5).cast("long").alias("q")) for i, k in enumerate(X, 1)])).alias("v")).select("g", "v.i", "v.q")
+    # starts: quartiles and their spreads on the value grid
+    long = x.select("g", F.explode_outer(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(k) * VALUE_GRID + 0.5).cast("long").alias("q")) for i, k in enumerate(X, 1)])).alias("v")).select("g", "v.i", "v.q")
     hist = long.groupBy("g", "i", "q").agg(F.count("*").alias("n"))
-    at = _threshold(hist, ["g", "i"], "q", {"a": 0.25, "b": 0.5, "c": 0.75})
-    wide = at.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col("b"))).alias(f"b{i}") for i in (1, 2, 3, 4)], *[F.max(F.when(F.col("i") == i, F.col("c") - F.col("a"))).alias(f"w{i}") for i in (1, 2, 3, 4)])
-    exprs = [(f"m{i}", f"b{i} / {VALUE_GRID}.0D") for i in (1, 2, 3, 4)]
-    exprs += [(f"l{i}{j}", f"w{i} / {VALUE_GRID}.0D / 1.349D + {FEATURES[f'x{i}'][1]}D" if i == j else "0.0D") for i in (1, 2, 3, 4) for j in range(1, i + 1)]
-    params = common.stage(_steps(wide, exprs).select("g", *PARAMS), "mcd")
-    for _ in range(STEPS):
-        d = _steps(x.join(params, "g"), DISTANCE)
-        cut = common.stage(_threshold(d.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], "bin", {"cut": SUPPORT}), "mcd")
-        near = d.join(cut, "g").filter("bin <= cut")
-        sums = near.groupBy("g").agg(*[F.expr(e).alias(k) for k, e in MOMENTS])
-        params = common.stage(_steps(sums, FACTOR).select("g", *PARAMS), "mcd")
-    d = _steps(x.join(params, "g"), DISTANCE)
-    hist = d.groupBy("g", "bin").agg(F.count("*").alias("n"))
-    cut = _threshold(hist, ["g"], "bin", {"cut": SUPPORT})
-    size = hist.groupBy("g").agg(F.sum("n").alias("n"))
-    return params.join(cut, "g").join(size, "g").select("g", "n", *PARAMS, F.expr(f"greatest(1.0D, (exp((cut + 1) / {DISTANCE_GRID}.0D) - 1.0D) / {CHI2_SUPPORT}D)").alias("scale"))
+    at = _threshold(hist, ["g", "i"], "q", {f"q{k}": share for k, share in enumerate(STARTS)})
+    wide = at.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col(f"q{k}"))).alias(f"q{k}{i}") for k in range(len(STARTS)) for i in (1, 2, 3, 4)], *[F.max(F.when(F.col("i") == i, F.col("q2") - F.col("q1"))).alias(f"w{i}") for i in (1, 2, 3, 4)])
+    starts = [F.struct(F.lit(k).alias("start"), *[(F.col(f"q{k}{i}") / float(VALUE_GRID)).alias(f"m{i}") for i in (1, 2, 3, 4)]) for k in range(len(STARTS))]
+    wide = wide.withColumn("s", F.explode_outer(F.array(*starts))).select("g", "s.*", *[f"w{i}" for i in (1, 2, 3, 4)])
+    spread = [(f"l{i}{j}", f"w{i} / {VALUE_GRID}.0D / 1.349D + {FEATURES[f'x{i}'][1]}D" if i == j else "0.0D") for i, j in PAIRS]
+    now = common.stage(_steps(wide, spread).select("g", "start", *PARAMS, F.lit(float("inf")).alias("det")), "mcd")
+
+    # concentration steps of those estimates whose determinant still falls
+    reached, step = [], 0
+    while not now.isEmpty():
+        step += 1
+        h = _histogram(x, now.select("g", "start", *PARAMS), ["g", "start"])
+        w = Window.partitionBy("g", "start")
+        near = h.withColumn("__c", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("__n", F.sum("n").over(w)).filter(F.col("__c") < SUPPORT * F.col("__n"))
+        sums = near.groupBy("g", "start").agg(*[F.sum(k).alias(k) for k, _ in MOMENTS])
+        old = now.select(F.col("g").alias("__g"), F.col("start").alias("__s"), F.col("det").alias("__d"))
+        # joined and written before the filter: neither the aggregate nor a condition should take
+        # in the long chain of expressions, which would be written out in full
+        made = sums.join(old, (F.col("g") == F.col("__g")) & (F.col("start") == F.col("__s")))
+        made = _steps(made, [*MEANS, *SPREAD, *FACTOR, *DETERMINANT]).select("g", "start", F.lit(step).alias("step"), *M, *C, *L, "det", "__d")
+        now = common.stage(made, "mcd").filter(F.col("det") < F.col("__d") - FALL).drop("__d")
+        reached.append(now)
+    if not reached:  # an empty table
+        return _steps(wide, [*spread, *[(c, "0.0D") for c in C], ("n", "0L"), ("scale", "1.0D")]).select("g", "n", *SHRUNK_NAMES)
+    every = functools.reduce(DataFrame.unionByName, reached)
+    least = F.min_by(F.struct(*M, *C, *L), F.struct(F.round("det", 6), "start", -F.col("step")))
+    best = common.stage(every.groupBy("g").agg(least.alias("p")).select("g", "p.*"), "mcd")
+    h = _histogram(x, best.select("g", *PARAMS), ["g"])
+    cut = _threshold(h.select("g", "bin", "n"), ["g"], "bin", {"cut": SUPPORT})
+    size = h.groupBy("g").agg(F.sum("n").alias("n"))
+    scale = F.expr(f"greatest(1.0D, (exp((cut + 1) / {DISTANCE_GRID}.0D) - 1.0D) / {CHI2_SUPPORT}D)")
+    return best.join(cut, "g").join(size, "g").select("g", "n", *M, *C, scale.alias("scale"))
+
+
+def _model(stats: DataFrame, lang: str, source: str) -> DataFrame:
+    """g (language and source), PARAMS and scale, each level shrunk towards the next."""
+    fitted = common.stage(fit(stats, lang, source), "mcd")
+    parent = None
+    for level in (2, 1, 0):
+        own = fitted.filter(F.col("g.level") == level)
+        if parent is None:
+            own = own.withColumns({k: F.expr(e) for k, e in PRIOR.items()})
+        else:
+            up = F.struct(F.lit(level + 1).alias("level"), (F.col("g.lang") if level == 0 else F.lit("")).alias("lang"), F.lit("").alias("source"))
+            own = own.withColumn("__up", up).join(_small(parent), "__up")
+        own = _steps(own, SHRUNK)
+        parent = own.select(F.col("g").alias("__up"), *[F.col(f"q{k}").alias(f"p{k}") for k in SHRUNK_NAMES])
+    return _steps(own.select("g", *[F.col(f"q{k}").alias(k) for k in SHRUNK_NAMES]), FACTOR).select(F.col("g").alias("__m"), *PARAMS, "scale")
 
 
 def _judged(stats: DataFrame, lang: str, source: str) -> DataFrame:
     """stats with base_failed and kept."""
-    model = common.stage(fit(stats, lang, source), "mcd")
-    big = model.filter(F.col("n") >= LEAST_GROUP)
-    named = stats.withColumn("__g", _levels_of(lang, source))
-    d = named.withColumns({k: F.expr(f"CASE WHEN {BASE_FAILED} THEN 0.0D ELSE {e} END") for k, (e, _) in FEATURES.items()})
-    carried = [c for c in stats.columns]
-    for level in (0, 1, 2):
-        m = big.filter(F.col("g.level") == level).select(F.col("g").alias("__m"), F.struct("scale", *PARAMS).alias(f"__p{level}"))
-        d = d.join(m, F.col("__g")[level] == F.col("__m"), "left").drop("__m")
-    d = d.withColumn("__p", F.coalesce("__p0", "__p1", "__p2"))
-    d = _steps(d.withColumns({k: F.col("__p")[k] for k in ("scale", *PARAMS)}), DISTANCE)
-    d = d.withColumn("base_failed", F.expr(BASE_FAILED))
-    return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("scale") * CUTOFF, F.lit(True))).select(*carried, "base_failed", "kept")
+    model = common.stage(_model(stats, lang, source), "mcd")
+    d = stats.withColumns({k: F.expr(f"CASE WHEN {BASE_FAILED} THEN 0.0D ELSE {e} END") for k, (e, _) in FEATURES.items()})
+    # a group without a text that passes the base limits has no estimate, and needs none
+    d = d.withColumn("__g", _levels_of(lang, source)[0]).join(_small(model), F.col("__g") == F.col("__m"), "left")
+    d = _steps(d, DISTANCE).withColumn("base_failed", F.expr(BASE_FAILED))
+    return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("scale") * CUTOFF, F.lit(True))).select(*stats.columns, "base_failed", "kept")
 
 
 def _levels_of(lang: str, source: str):
@@ -136,19 +192,24 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns.
+    """The rows of docs that the rules keep, with all their columns, whatever their names.
 
-    The statistics are written beside the rows once, so that texts are read and cut into
-    words a single time.  Columns of docs named like a statistic are set aside meanwhile.
+    A verdict depends on text, language and source alone.  Only statistics are written; the
+    rejected texts, told by 128 bits of hash, are then left out of docs.
     """
-    named = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)])
-    of = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    stats = common.stage(with_stats(named, of[text]), "stats")
-    return _judged(stats, of[lang], of[source]).filter("kept").select(*[F.col(of[c]).alias(c) for c in docs.columns])
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    who = [F.xxhash64(body), F.xxhash64(F.lit(1), body), F.coalesce(F.concat(F.lit("="), F.col(f"`{lang}`")), F.lit("null")), F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("null"))]
+    narrow = docs.select(*[c.alias(f"__h{i}") for i, c in enumerate(who)], F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source"), body.alias("__text"))
+    stats = common.stage(with_stats(narrow, "__text").drop("__text"), "stats")
+    names = [f"__h{i}" for i in range(len(who))]
+    gone = common.stage(_judged(stats, "__lang", "__source").filter("NOT kept").select(*names).distinct(), "rejected")
+    base = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)], *[c.alias(n) for c, n in zip(who, names, strict=True)])
+    return base.join(_small(gone), names, "left_anti").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def oracle_sql(table: str = "documents") -> str:
-    """The same rules in DuckDB SQL, texts compared as words, not as hashes."""
+def oracle_sql(table: str = "documents", steps: int = 24) -> str:
+    """The same rules in DuckDB SQL, texts compared as words, not as hashes; as many steps
+    are written out as an estimate may need at the size of the SQL's tables."""
     duck = lambda e: re.sub(r"(?<=[0-9])D\b", "", e)
     w = r"[^\x20\x09-\x0D]"
     ctes = [
@@ -169,19 +230,30 @@ def oracle_sql(table: str = "documents") -> str:
     ctes.append(f"h0 AS (SELECT g, i, q, count(*) AS n FROM ({grid}) GROUP BY ALL)")
     ctes.append("h1 AS (SELECT g, i, q, sum(n) OVER (PARTITION BY g, i ORDER BY q) AS c, sum(n) OVER (PARTITION BY g, i) AS t FROM h0)")
     ctes.append("h2 AS (SELECT g, i, min(CASE WHEN c >= 0.25 * t THEN q END) AS qa, min(CASE WHEN c >= 0.5 * t THEN q END) AS qb, min(CASE WHEN c >= 0.75 * t THEN q END) AS qc FROM h1 GROUP BY g, i)")
-    start = [f"max(CASE WHEN i = {i} THEN qb END) / {VALUE_GRID}.0 AS m{i}" for i in (1, 2, 3, 4)]
-    start += [(f"max(CASE WHEN i = {i} THEN qc - qa END) / {VALUE_GRID}.0 / 1.349 + {FEATURES[f'x{i}'][1]}" if i == j else "0.0") + f" AS l{i}{j}" for i in (1, 2, 3, 4) for j in range(1, i + 1)]
-    ctes.append(f"p0 AS (SELECT g, {', '.join(start)} FROM h2 GROUP BY g)")
+    ctes.append(f"h3 AS MATERIALIZED (SELECT g, i, qa / {VALUE_GRID}.0 AS qa, qb / {VALUE_GRID}.0 AS qb, qc / {VALUE_GRID}.0 AS qc, (qc - qa) / {VALUE_GRID}.0 / 1.349 AS w FROM h2)")
+    spread = ", ".join((f"max(CASE WHEN i = {i} THEN w END) + {FEATURES[f'x{i}'][1]}" if i == j else "0.0") + f" AS l{i}{j}" for i, j in PAIRS)
+    begin = [f"SELECT g, {k} AS start, {', '.join(f'max(CASE WHEN i = {i} THEN {q} END) AS m{i}' for i in (1, 2, 3, 4))}, {spread}, 1e300 AS det FROM h3 GROUP BY g" for k, q in enumerate(("qb", "qa", "qc"))]
+    ctes.append("p0 AS MATERIALIZED (" + " UNION ALL ".join(begin) + ")")
     dist = ", ".join(f"{duck(e)} AS {k}" for k, e in DISTANCE)
-    for s in range(STEPS + 1):
-        ctes.append(f"d{s} AS (SELECT g, {', '.join(X)}, {dist} FROM x JOIN p{s} USING (g))")
-        ctes.append(f"e{s} AS (SELECT g, bin, count(*) AS n, sum(count(*)) OVER (PARTITION BY g ORDER BY bin) AS c, sum(count(*)) OVER (PARTITION BY g) AS t FROM d{s} GROUP BY g, bin)")
-        ctes.append(f"f{s} AS (SELECT g, min(CASE WHEN c >= {SUPPORT} * t THEN bin END) AS cut, max(t) AS n FROM e{s} GROUP BY g)")
-        if s < STEPS:
-            ctes.append(f"k{s} AS (SELECT g, {', '.join(f'{e} AS {k}' for k, e in MOMENTS)} FROM d{s} JOIN f{s} USING (g) WHERE bin <= cut GROUP BY g)")
-            ctes.append(f"p{s + 1} AS (SELECT g, {', '.join(PARAMS)} FROM (SELECT g, {', '.join(f'{duck(e)} AS {k}' for k, e in FACTOR)} FROM k{s}))")
-    ctes.append(f"model AS (SELECT g, {', '.join(PARAMS)}, greatest(1.0, (exp((cut + 1) / {DISTANCE_GRID}.0) - 1.0) / {CHI2_SUPPORT}) AS scale FROM p{STEPS} JOIN f{STEPS} USING (g) WHERE n >= {LEAST_GROUP})")
-    ctes.append("lev AS (SELECT stat.*, coalesce(m0.g, m1.g, m2.g) AS g FROM stat LEFT JOIN model m0 ON m0.g = {'l': 0, 'a': stat.a, 'b': stat.b} LEFT JOIN model m1 ON m1.g = {'l': 1, 'a': stat.a, 'b': ''} LEFT JOIN model m2 ON m2.g = {'l': 2, 'a': '', 'b': ''})")
+    exprs = lambda es: ", ".join(f"{duck(e)} AS {k}" for k, e in es)
+    for t in range(steps):
+        ctes.append(f"d{t} AS MATERIALIZED (SELECT g, start, {', '.join(X)}, {dist} FROM x JOIN p{t} USING (g))")
+        ctes.append(f"f{t} AS MATERIALIZED (SELECT g, start, min(CASE WHEN c >= {SUPPORT} * t THEN bin END) AS cut FROM (SELECT g, start, bin, sum(count(*)) OVER (PARTITION BY g, start ORDER BY bin) AS c, sum(count(*)) OVER (PARTITION BY g, start) AS t FROM d{t} GROUP BY g, start, bin) GROUP BY g, start)")
+        ctes.append(f"k{t} AS MATERIALIZED (SELECT g, start, {', '.join(f'{e} AS {k}' for k, e in MOMENTS)} FROM d{t} JOIN f{t} USING (g, start) WHERE bin <= cut GROUP BY g, start)")
+        ctes.append(f"p{t + 1} AS MATERIALIZED (SELECT * FROM (SELECT g, start, {', '.join((*M, *C, *L))}, det FROM (SELECT g, start, {exprs([*MEANS, *SPREAD, *FACTOR, *DETERMINANT])} FROM k{t})) q WHERE q.det < (SELECT o.det FROM p{t} o WHERE o.g = q.g AND o.start = q.start) - {FALL})")
+    every = " UNION ALL ".join(f"SELECT {t} AS step, * FROM p{t}" for t in range(1, steps + 1))
+    ctes.append(f"best AS MATERIALIZED (SELECT * FROM ({every}) QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(det, 6), start, step DESC) = 1)")
+    ctes.append(f"dz AS (SELECT g, {dist} FROM x JOIN best USING (g))")
+    ctes.append("ez AS (SELECT g, bin, sum(count(*)) OVER (PARTITION BY g ORDER BY bin) AS c, sum(count(*)) OVER (PARTITION BY g) AS t FROM dz GROUP BY g, bin)")
+    ctes.append(f"fz AS (SELECT g, CAST(max(t) AS BIGINT) AS n, min(CASE WHEN c >= {SUPPORT} * t THEN bin END) AS cut FROM ez GROUP BY g)")
+    ctes.append(f"fitted AS MATERIALIZED (SELECT g, n, {', '.join((*M, *C))}, greatest(1.0, (exp((cut + 1) / {DISTANCE_GRID}.0) - 1.0) / {CHI2_SUPPORT}) AS scale FROM best JOIN fz USING (g))")
+    own = ", ".join(f"s.{v}" for v in ("g", "n", *SHRUNK_NAMES))
+    after = ", ".join(f"q{v} AS {v}" for v in SHRUNK_NAMES)
+    for level, up in ((2, ""), (1, "''"), (0, "s.g.a")):
+        parent = f"SELECT {own}, {', '.join(f'{duck(e)} AS {k}' for k, e in PRIOR.items())} FROM fitted s WHERE s.g.l = 2" if level == 2 else f"SELECT {own}, {', '.join(f'u.{v} AS p{v}' for v in SHRUNK_NAMES)} FROM fitted s JOIN v{level + 1} u ON u.g.a = {up} WHERE s.g.l = {level}"
+        ctes.append(f"v{level} AS MATERIALIZED (SELECT g, {after} FROM (SELECT g, {exprs(SHRUNK)} FROM ({parent})))")
+    ctes.append(f"model AS (SELECT g, {', '.join(M)}, scale, {exprs(FACTOR)} FROM v0)")
+    ctes.append("lev AS (SELECT stat.*, {'l': 0, 'a': stat.a, 'b': stat.b} AS g FROM stat)")
     feats = ", ".join(f"CASE WHEN {BASE_FAILED} THEN 0.0 ELSE {duck(e)} END AS {k}" for k, (e, _) in FEATURES.items())
     ctes.append(f"fin AS (SELECT doc_id, {', '.join(STATS)}, {BASE_FAILED} AS base_failed, scale, {feats}, {dist} FROM lev LEFT JOIN model USING (g))")
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, {', '.join(STATS)}, base_failed, (NOT base_failed) AND coalesce(d2 <= scale * {CUTOFF}, true) AS kept FROM fin"

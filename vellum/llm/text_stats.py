@@ -22,8 +22,8 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     k = REPEAT_WINDOW
     d = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("__w", common.words_of(F.col("__t")))
     d = d.withColumn("__n", F.size("__w"))
-    shifted = F.arrays_zip("__w", *[F.slice("__w", j + 1, F.greatest(F.col("__n") - j, F.lit(0))) for j in range(1, k)])
-    d = d.withColumn("__h", F.transform(F.slice(shifted, 1, F.greatest(F.col("__n") - (k - 1), F.lit(0))), lambda x: F.xxhash64(x)))
+    at = F.when(F.col("__n") >= k, F.sequence(F.lit(0), F.col("__n") - k)).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("__h", F.transform(at, lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(k)])))
     # only texts with some repeated window sort their windows
     d = d.withColumn("__rep", F.size(F.array_distinct("__h")) < F.size("__h"))
     d = d.withColumn("__p", F.when(F.col("__rep"), F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
