@@ -1,18 +1,20 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
 
 Suffixes are classified; leftmost-smaller (LMS) substrings are sorted by induction and
-named; the string of names is sorted recursively while its alphabet is small, else by
-prefix doubling over it (about a quarter of the text); all suffixes are then induced from
-the sorted LMS suffixes in two linear scans.  A scan handles a whole bucket in waves: the
-suffixes in hand send their predecessors, in order, to the buckets of their first symbol.
+named; the string of names is sorted recursively, to the end; all suffixes are then induced
+from the sorted LMS suffixes in two linear scans.  A scan sends the predecessor of each
+suffix, in order, to the bucket of its first symbol.  Over few symbols it takes a whole
+bucket at a time, in waves; over many, or where symbols follow themselves, so that buckets
+or waves are small, one suffix after the other.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are induced; larger ones, of names, go to prefix doubling.
-MOST_SYMBOLS = 2048
+#: Fewest suffixes of a bucket, on average, and the largest share of symbols that follow
+#: themselves, for which a scan by buckets pays.
+BUCKET_MEAN, FOLLOWING = 256, 0.25
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +42,44 @@ def _split(pred: np.ndarray, symbols: np.ndarray, into: list[list]) -> None:
 
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes, given the LMS suffixes in order."""
+    if len(t) < BUCKET_MEAN * sigma or np.count_nonzero(t[1:] == t[:-1]) > FOLLOWING * len(t):
+        return _scanned(t, small, lms, sigma)
+    return _by_buckets(t, small, lms, sigma)
+
+
+def _scanned(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The two scans, suffix by suffix."""
+    n = len(t)
+    size = np.bincount(t, minlength=sigma)
+    ends = np.cumsum(size)
+    sa = [-1] * n
+    # LMS suffixes at the ends of their buckets
+    tail = ends.tolist()
+    symbols, order = t.tolist(), lms.tolist()
+    for i in reversed(order):
+        c = symbols[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    larger = (~small).tolist()
+    head = (ends - size).tolist()
+    for i in sa if n else ():
+        if i > 0 and larger[i - 1]:
+            c = symbols[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        i = sa[k]
+        if i > 0 and not larger[i - 1]:
+            c = symbols[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    sa[0] = n - 1
+    return np.array(sa, lms.dtype)
+
+
+def _by_buckets(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The two scans, bucket by bucket."""
     larger: list[list] = [[] for _ in range(sigma)]
     seeds: list[list] = [[] for _ in range(sigma)]
     _split(lms, t, seeds)
@@ -78,34 +118,6 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     return np.concatenate(out)[::-1]
 
 
-def _doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; only suffixes still tied are sorted again."""
-    n = len(t)
-    sa = np.argsort(t, kind="stable")
-    key = t[sa]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    rank = np.empty(n, np.int64)
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = first
-    step = 1
-    while True:
-        last = np.append(new[1:], True)
-        tied = np.flatnonzero(~(new & last))  # places in sa whose group has others
-        if not len(tied):
-            return sa
-        suffix = sa[tied]
-        nxt = np.where(suffix + step < n, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
-        group = rank[suffix]
-        order = np.lexsort((nxt, group))
-        sa[tied] = suffix[order]
-        group, nxt = group[order], nxt[order]
-        new[tied[1:]] |= (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])
-        new[tied[0]] = True
-        first = np.maximum.accumulate(np.where(new[tied], tied, 0))
-        rank[sa[tied]] = first
-        step *= 2
-
-
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """t: symbols below sigma, ending in a 0 that occurs nowhere else."""
     n = len(t)
@@ -131,8 +143,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     name[p] = np.cumsum(differs) - 1
     names = int(differs.sum())
     if names < len(at):
-        sub = suffix_array(name, names) if names <= MOST_SYMBOLS else _doubling(name)
-        order = at[sub]
+        order = at[suffix_array(name, names)]
     return induce(t, small, order, sigma)
 
 
