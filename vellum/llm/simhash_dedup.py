@@ -1,11 +1,12 @@
 """SimHash near-duplicates: segment popcounts, grid range-join, exact verification.
 
-Every text gets a 64-bit fingerprint; equal fingerprints collapse first.  A fingerprint is
-embedded as the bit counts of SEGMENTS segments.  The Manhattan distance of two such
-vectors never exceeds their Hamming distance, so links within RADIUS lie within a ball of
-RADIUS in the grid.  Split into two halves, one half differs by RADIUS // 2 = 1 at most:
-the range-join looks in a half's own grid cell and its neighbours at distance 1 (an odd
-cell reaches out to the even cells next to it, so one side does all the reaching).
+Every text gets a 64-bit fingerprint; equal fingerprints collapse first.  A half of a
+fingerprint is embedded as the bit counts of its two-bit segments, cut at even and at odd
+places.  The Manhattan distance of two such vectors, within either cut, never exceeds the
+Hamming distance, and is below it where bits of a segment differ in opposite ways.  Links
+within RADIUS differ in one half by RADIUS // 2 = 1 bit at most: the range-join looks in a
+half's own grid cell and in those one bit away, at distance 1 in either cut (halves of odd
+bit count reach out to the even ones, so one side does all the reaching).
 Members of a cell are compared exactly; a cell gives a spanning forest of its links, never
 all pairs, and cells of many members are dealt out as pairs of bounded blocks.
 Components come from alternating large-star and small-star steps over the forest.
@@ -22,10 +23,6 @@ from vellum.llm import common
 
 SHINGLE_WORDS = 3
 RADIUS = 3
-#: Bits of a segment; a half has 32 // SEGMENT_BITS segments.  Two random halves share a cell
-#: of one-bit segments once in 2**32, of two-bit segments once in 2**22.6: wider segments have
-#: a few keys less for each fingerprint, but chance neighbours soon fill their cells.
-SEGMENT_BITS = 1
 SEED = 42
 #: Members of a cell that one group compares; larger cells are dealt out as block pairs.
 BLOCK = 2048
@@ -65,27 +62,35 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     return base.mapInArrow(run, base.drop("__text").withColumn(name, F.lit(0).cast("long")).schema)
 
 
-def cells(fps: np.ndarray, segment_bits: int = SEGMENT_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Grid keys of the fingerprints (own cells, and reached ones) and, for each, the row."""
-    per_half = 32 // segment_bits
-    width = int(segment_bits).bit_length()  # bits that hold a count of 0..segment_bits
+_PAIRS = np.uint64(0x55555555)
+
+
+def embedded(halves: np.ndarray) -> np.ndarray:
+    """Bit counts (0, 1, 2) of the 16 two-bit segments of each half, two bits a count, and
+    above them those of the segments that begin one bit later."""
+    one, low = np.uint64(1), np.uint64(0xFFFFFFFF)
+    turned = ((halves >> one) | (halves << np.uint64(31))) & low
+    counts = [v - ((v >> one) & _PAIRS) for v in (halves, turned)]
+    return counts[0] | counts[1] << np.uint64(32)
+
+
+def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grid keys of the fingerprints (own cells, and reached ones) and, for each, the row.
+
+    A key is the cell's coordinates, mixed with the half's place; keys that meet by chance
+    only add comparisons.
+    """
     keys, rows = [], []
     index = np.arange(len(fps))
     for half in (0, 1):
         v = (fps >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        counts = [np.bitwise_count((v >> np.uint64(segment_bits * s)) & np.uint64((1 << segment_bits) - 1)).astype(np.int64) for s in range(per_half)]
-        own = np.zeros(len(fps), np.int64)
-        for s, c in enumerate(counts):
-            own |= c << (width * s)
-        own = own << 1 | half
-        keys.append(own)
-        rows.append(index)
-        odd = np.flatnonzero(sum(counts) % 2)
-        for s, c in enumerate(counts):
-            step = np.int64(1) << (width * s + 1)
-            up, down = odd[c[odd] < segment_bits], odd[c[odd] > 0]
-            keys += [own[up] + step, own[down] - step]
-            rows += [up, down]
+        odd = np.flatnonzero(np.bitwise_count(v) % 2)
+        reached = (v[odd][:, None] ^ (np.uint64(1) << np.arange(32, dtype=np.uint64))).ravel()
+        for part, of in ((v, index), (reached, np.repeat(odd, 32))):
+            k = embedded(part)
+            k = (k ^ k >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(half)
+            keys.append(k.view(np.int64))
+            rows.append(of)
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -177,13 +182,42 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return dealt.mapInArrow(_links_in_cells(radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+#: Links, 16 bytes each, that one task joins by itself.
+TASK_LINKS = 500_000
+
+
+def _joined(batches):
+    """All links -> (node, root), root the smallest node reachable."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if not parts:
+        return
+    nodes, place = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    u, v = place.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], least)
+        np.minimum.at(new, root[v], least)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    for i in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(nodes[root[i : i + (1 << 16)]])], ["node", "root"])
+
+
+def components(edges: DataFrame, most_rounds: int = 64, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, root) for every node of the links (a, b), root the smallest node reachable.
 
-    Alternating large-star and small-star steps; each round is written to the shared
-    folder, and the rounds end when a round changes no link.
+    Links counted to be few are joined by one task.  More go through alternating large-star
+    and small-star steps; each round is written to the shared folder, and the rounds end when
+    a round changes no link.
     """
     now = common.stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    if now.count() <= task_links:
+        return now.coalesce(1).mapInArrow(_joined, "node long, root long")
     mark = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -197,6 +231,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
@@ -208,7 +244,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     are kept.  An empty table gives no rows; other columns play no part.
     """
     base = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    marked = common.stage(with_fingerprints(base), "fingerprints")
+    marked = common.stage(with_fingerprints(base, shingle=shingle), "fingerprints")
     unique = common.stage(marked.groupBy("fp").agg(F.min("key").alias("least")), "unique")
     comp = common.stage(components(links(unique, radius)), "components")
     # fingerprints without a link are their own root
@@ -225,19 +261,23 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Documents are one group when fingerprints link them or, unless similarity is None, when
     five-word shingle sets of that Jaccard similarity do (shingle_links says how those are
     found).  Keys are integers.  Of rows that share that key one stays.  Rows with a null key
-    stay only where their group has no other key.
+    stay only where their group has no other key.  Null and empty texts are one group.  All
+    columns stay, whatever their names.  An empty table gives no rows.
     """
     from vellum.llm import shingle_links
 
-    near = near_duplicates(docs, key, text, shingle, radius).select(F.col(key).alias("__key"), "component_id")
+    narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    near = near_duplicates(narrow, "key", "text", shingle, radius).select(F.col("key").alias("__key"), "component_id")
     if similarity is not None:
         known = common.stage(near.dropDuplicates().select(F.col("__key").alias("key"), "component_id"), "known").filter("key is not null")
-        comp = common.stage(components(shingle_links.links(docs.select(key, text), known, key, text, similarity)), "components")
+        comp = common.stage(components(shingle_links.links(narrow, known, "key", "text", similarity)), "components")
         near = near.join(comp, near["component_id"] == comp["node"], "left").select("__key", F.coalesce("root", "component_id").alias("component_id"))
     near = near.filter(F.col("__key").eqNullSafe(F.col("component_id")))
     near = near.dropDuplicates(["__key"]).select("__key")
-    one = docs.join(near, docs[key].eqNullSafe(near["__key"]), "left_semi")
-    repeated = docs.groupBy(F.col(f"`{key}`").alias("__k")).count().filter("count > 1").select("__k")
-    plain = one.join(repeated, one[key].eqNullSafe(F.col("__k")), "left_anti")
-    again = one.join(repeated, one[key].eqNullSafe(F.col("__k")), "left_semi").dropDuplicates([key])
-    return plain.unionByName(again)
+    # the rows' own columns follow under numbered names, so that none clashes
+    base = docs.select(F.col(f"`{key}`").alias("__own"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)])
+    one = base.join(near, F.col("__own").eqNullSafe(F.col("__key")), "left_semi")
+    repeated = narrow.groupBy(F.col("key").alias("__k")).count().filter("count > 1").select("__k")
+    plain = one.join(repeated, F.col("__own").eqNullSafe(F.col("__k")), "left_anti")
+    again = one.join(repeated, F.col("__own").eqNullSafe(F.col("__k")), "left_semi").dropDuplicates(["__own"])
+    return plain.unionByName(again).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
