@@ -4,7 +4,8 @@ A tokenizer feeds a builder that closes implied elements (p, li, dt, dd, option,
 th, thead, tbody, tfoot) and ignores stray end tags.  The renderer walks the tree: hidden
 elements give nothing, inline text collapses its white space, blocks stand on lines of
 their own with an empty line around paragraphs, headings, lists and tables, lists carry
-their marks and depth, table cells are aligned in columns, pre keeps its lines.
+their marks and depth, table cells are aligned in columns up to a bounded width, pre keeps its
+lines.  visibility is inherited and may be set again further in.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import common
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
@@ -45,51 +46,110 @@ CLOSES = {
 SCOPE = frozenset("table td th caption html button object".split())
 
 
-class Node:
-    __slots__ = ("cells", "children", "hidden", "tag")
+#: Most columns and rows that a cell spans (fixed by the HTML standard), and the column
+#: width up to which cells are padded.
+MOST_COLUMNS, MOST_ROWS, MOST_PAD = 1000, 65534, 60
 
-    def __init__(self, tag: str, hidden: bool = False):
-        self.tag, self.hidden, self.children = tag, hidden, []
-        self.cells = False  # holds rows or cells of the table around it
 
+class Node:
+    """hidden: the whole element is; visible: what its visibility property says, if it has one."""
 
-def _hidden(tag: str, attributes: str) -> bool:
-    if tag in HIDDEN:
-        return True
-    if not attributes or not attributes.strip(" /"):
-        return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" and value != "until-found":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", value):
-            return True
-        if name == "type" and tag == "input" and value == "hidden":
-            return True
-    return False
+    __slots__ = ("cells", "children", "columns", "hidden", "rows", "tag", "visible")
+
+    def __init__(self, tag: str, attributes: str = ""):
+        self.tag, self.hidden, self.visible, self.children = tag, tag in HIDDEN, None, []
+        self.cells = False  # holds rows or cells of the table around it
+        self.columns = self.rows = 1
+        if not self.hidden and attributes and attributes.strip(" /"):
+            self._read(attributes)
+
+    def _read(self, attributes: str) -> None:
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), (a or b or c).strip().lower()
+            if name == "hidden" and value != "until-found" or name == "type" and self.tag == "input" and value == "hidden":
+                self.hidden = True
+            elif name == "style":
+                for said in value.split(";"):
+                    what, _, how = said.partition(":")
+                    what, how = what.strip(), how.replace("!important", "").strip()
+                    if what == "display" and how == "none":
+                        self.hidden = True
+                    elif what == "visibility":
+                        self.visible = {"hidden": False, "collapse": False, "visible": True}.get(how, self.visible)
+            elif name in ("colspan", "rowspan") and self.tag in ("td", "th") and value[:6].isdecimal() and value.isascii():
+                if name == "colspan":
+                    self.columns = min(max(int(value[:6]), 1), MOST_COLUMNS)
+                else:
+                    self.rows = min(int(value[:6]) or MOST_ROWS, MOST_ROWS)
+
+
+class _Scanner:
+    """Finds the tags of a page from left to right, each character looked at a few times."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.gone: set[str] = set()  # characters that don't occur from here on
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        i = self.source.find(what, at)
+        if i < 0:
+            self.gone.add(what)
+        return i
+
+    def _end(self, at: int) -> int:
+        """After the > of a tag, which quoted values may hold too; the end of the page without one."""
+        source, first = self.source, self.find(">", at)
+        if first < 0:
+            return len(source)
+        i = at
+        while True:
+            close = self.find(">", i)
+            if close < 0:  # all in quotes that close too late
+                return first + 1
+            quote = min((q for q in (source.find('"', i, close), source.find("'", i, close)) if q >= 0), default=-1)
+            if quote < 0:
+                return close + 1
+            i = self.find(source[quote], quote + 1) + 1
+            if not i:  # a quote that never closes
+                return first + 1
+
+    def tag(self, at: int) -> tuple[int, int, re.Match | None]:
+        """Start and end of the next tag or comment from `at`, and the match of a tag's name."""
+        source = self.source
+        while (start := self.find("<", at)) >= 0:
+            if m := _NAME.match(source, start):
+                return start, self._end(m.end()), m
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">"), ("</", ">")):
+                if source.startswith(opening, start):
+                    if opening == "</" and source[start + 2 : start + 3] in (" ", ""):
+                        break
+                    end = self.find(closing, start + len(opening))
+                    return start, end + len(closing) if end >= 0 else len(source), None
+            at = start + 1
+        return len(source), len(source), None
 
 
 def parse(source: str) -> Node:
     root = Node("html")
     stack = [root]
     opened = Counter()  # the tags on the stack, so that deep stacks are searched only for what they hold
-    at = 0
+    scan, at = _Scanner(source), 0
 
     def close(i: int) -> None:
         opened.subtract(n.tag for n in stack[i:])
         del stack[i:]
 
-    while True:
-        m = _TOKEN.search(source, at)
-        text = source[at : m.start() if m else len(source)]
+    while at < len(source):
+        start, end, m = scan.tag(at)
+        text = source[at:start]
         if text:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
-        if not m:
-            return root
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+        at = end
+        if m is None or not source.endswith(">", start, end):  # a tag that never ends is none
             continue
+        name, attributes = m.group(2), source[m.end() : end - 1]
         tag = name.lower()
         if m.group(1):
             if tag == "p" and not opened["p"]:
@@ -122,24 +182,26 @@ def parse(source: str) -> Node:
                     break
             if stack[-1].tag == "head":
                 close(len(stack) - 1)
-        node = Node(tag, _hidden(tag, m.group(3)))
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in ("tr", "td", "th"):
             for n in reversed(stack):
                 if n.cells or n.tag == "table":
                     break
                 n.cells = True
-        if tag in VOID or (m.group(3).endswith("/") and tag not in BLOCK and tag not in RAW):
+        if tag in VOID or (attributes.endswith("/") and tag not in BLOCK and tag not in RAW):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(source, at)
-            body = source[at : end.start()]
+            last = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+            body = source[at : last.start() if last else len(source)]
             if body:
                 node.children.append(html.unescape(body) if tag in ("title", "textarea") else body)
-            at = end.end()
+            after = scan.find(">", last.end()) + 1 if last else 0
+            at = after or len(source)
         else:
             stack.append(node)
             opened[tag] += 1
+    return root
 
 
 class _Lines:
@@ -233,36 +295,56 @@ def _parts(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return loose, rows
 
 
-def _table(node: Node, depth: int):
+def _table(node: Node, depth: int, shown: bool):
     loose, rows = _parts(node)
     out: list[str] = []
     for c in loose:  # before the rows
-        out += yield _render(c, depth)
-    grid: list[list[list[str]]] = []
+        out += yield _render(c, depth, _shown(c, shown))
+    # (column, columns spanned, lines) of the cells of each row
+    grid: list[list[tuple[int, int, list[str]]]] = []
+    taken: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
     for r in rows:
         grid.append([])
+        at, below = 0, {c: n - 1 for c, n in taken.items() if n > 1}
         for c in r:
-            grid[-1].append((yield _render(c, depth)) or [""])
-    width: list[int] = []
+            while at in taken:
+                at += 1
+            grid[-1].append((at, c.columns, (yield _render(c, depth, _shown(c, shown))) or [""]))
+            if c.rows > 1:
+                below |= dict.fromkeys(range(at, at + c.columns), c.rows - 1)
+            at += c.columns
+        taken = below
+    width: dict[int, int] = {}
     for row in grid:
-        for i, cell in enumerate(row):
-            w = max(map(len, cell))
-            if i == len(width):
-                width.append(w)
-            else:
-                width[i] = max(width[i], w)
+        for at, span, cell in row:
+            w = max(map(len, cell)) if span == 1 else 0
+            width[at] = max(width.get(at, 0), min(w, MOST_PAD))
+    columns = sorted(width)
+    ends = {}  # where a column's text begins in a line
+    place = 0
+    for c in columns:
+        ends[c] = place
+        place += width[c] + 2
     for row in grid:
-        for k in range(max((len(c) for c in row), default=0)):
-            line = "  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)).rstrip(" ")
-            if line:
+        for k in range(max((len(cell) for _, _, cell in row), default=0)):
+            line = ""
+            for at, _, cell in row:
+                if k < len(cell) and cell[k]:
+                    line = line.ljust(ends[at]) + cell[k] if len(line) + 2 <= ends[at] or not line else line + "  " + cell[k]
+            if line := line.rstrip(" "):
                 out.append(line)
     return out
 
 
+def _shown(c: Node | str, shown: bool) -> bool:
+    """Whether text right in c shows, where it does so around c or not."""
+    return shown if isinstance(c, str) or c.visible is None else c.visible
+
+
 def render(node: Node, depth: int = 0) -> list[str]:
     """The lines of one element's content; generators on a list of their own stand for
     recursion, so that pages may be of any depth."""
-    stack, value = [_render(node, depth)], None
+    stack, value = [_render(node, depth, True)], None
     while stack:
         try:
             below = stack[-1].send(value)
@@ -275,12 +357,14 @@ def render(node: Node, depth: int = 0) -> list[str]:
     return value
 
 
-def _render(node: Node, depth: int):
+def _render(node: Node, depth: int, shown: bool):
     lines = _Lines()
 
-    def walk(n: Node, pre: bool):
+    def walk(n: Node, pre: bool, shown: bool):
         for c in n.children:
             if isinstance(c, str):
+                if not shown:
+                    continue
                 if pre:
                     first, *rest = c.split("\n")
                     if first:
@@ -304,29 +388,29 @@ def _render(node: Node, depth: int):
                 lines.gap = 1
             elif c.tag == "table":
                 lines.block(True)
-                for x in (yield _table(c, depth + 1)):
+                for x in (yield _table(c, depth + 1, _shown(c, shown))):
                     lines.put(x)
                 lines.block(True)
             elif c.tag in ("ul", "ol", "menu", "dl"):
                 lines.block(n.tag != "li" and n.tag not in ("ul", "ol", "menu"))
-                for x in (yield _list(c, depth)):
+                for x in (yield _list(c, depth, _shown(c, shown))):
                     lines.put(x)
                 lines.block(n.tag != "li" and n.tag not in ("ul", "ol", "menu"))
             elif c.tag in BLOCK:
                 lines.block(c.tag in SPACED)
-                yield walk(c, pre or c.tag == "pre")
+                yield walk(c, pre or c.tag == "pre", _shown(c, shown))
                 lines.block(c.tag in SPACED)
             else:
-                yield walk(c, pre or c.tag == "textarea")
+                yield walk(c, pre or c.tag == "textarea", _shown(c, shown))
 
-    yield walk(node, node.tag == "pre")
+    yield walk(node, node.tag == "pre", shown)
     lines.line()
     while lines.out and not lines.out[-1]:
         lines.out.pop()
     return lines.out
 
 
-def _list(node: Node, depth: int):
+def _list(node: Node, depth: int, shown: bool):
     out: list[str] = []
     number = 0
     for c in node.children:
@@ -335,13 +419,13 @@ def _list(node: Node, depth: int):
         if isinstance(c, Node) and c.tag == "li":
             number += 1
             mark = f"{number}. " if node.tag == "ol" else "- "
-            body = yield _render(c, depth + 1)
+            body = yield _render(c, depth + 1, _shown(c, shown))
             out += [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(body)]
         else:
             holder = Node("div")
             holder.children = [c]
             indent = "  " if isinstance(c, Node) and c.tag in ("dd", "ul", "ol", "menu") else ""
-            out += [indent + x for x in (yield _render(holder, depth + 1))]
+            out += [indent + x for x in (yield _render(holder, depth + 1, shown))]
     return out
 
 
@@ -353,16 +437,19 @@ def page_text(source: str | None) -> str:
 def extract(pages: DataFrame, source: str = "html", name: str = "text") -> DataFrame:
     """Adds the visible text of each page, in place of the column `source`.
 
-    Null pages give an empty text; every row stays; a column of pages that is called like
-    the result is replaced.  No shuffle: one pass over the scan.
+    Null, empty and wholly hidden pages give an empty text; every row stays; a column of pages
+    that is called like the result is replaced.  Time and memory grow in proportion to a page's
+    length, however it is built.  An empty table gives no rows.  No shuffle: one pass over the scan.
     """
     common.ship(pages.sparkSession)
     carried = [c for c in pages.columns if c not in (source, name)]
-    base = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{source}`").alias("__html"))
+    # the page goes first and the other columns under numbered names, so that none clashes
+    base = pages.select(F.col(f"`{source}`").alias("page"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
 
     def run(batches):
         for b in batches:
-            texts = [page_text(x.as_py()) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*carried, name])
+            texts = [page_text(x.as_py()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], [*[f"c{i}" for i in range(len(carried))], "page"])
 
-    return base.mapInArrow(run, base.drop("__html").withColumn(name, F.lit("")).schema)
+    out = base.mapInArrow(run, base.select(*[f"c{i}" for i in range(len(carried))], F.lit("").alias("page")).schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], F.col("page").alias(name))

@@ -1,10 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the distinct lower-case words of a text and their beginnings of PREFIXES
-letters, hashed.  Terms whose share differs clearly between toxic and other labelled texts
-are screened; a factorization machine over them learns a weight for each and, by the
-product of short vectors, for each pair, such as an insult with the mention of a group.
-The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS); every text is scored.
+letters, hashed.  A term enters the model if its own share differs clearly between toxic and
+other labelled texts, or if its share together with another of the FREQUENT most frequent
+terms does so more clearly than that of either alone, such as an insult that counts only
+where a group is mentioned.  A factorization machine over them learns a weight for each and,
+by the product of short vectors, for each pair.  The model is fitted on a bounded sample of
+labelled rows (TRAIN_ROWS); every text is scored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6)
 #: Least z statistic of a term's share and the least number of texts with it.
 LEAST_Z, LEAST_TEXTS = 6.0, 8
-#: Terms of the model, those of largest z statistic.
+#: Bound of the model: terms of largest z statistic that enter by their own share.
 MOST_TERMS = 4096
+#: Most frequent terms whose pairs are counted, the least gain of a pair's z statistic over
+#: those of its terms, and the bound of the terms that enter by pairs.
+FREQUENT, LEAST_GAIN, MOST_PAIRED = 512, 4.0, 256
 FACTORS, EPOCHS, RATE, DECAY, SEED = 8, 300, 0.1, 1e-4, 7
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -94,8 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A machine from the labelled rows outside the held-out fold.
 
     A key with several labels counts as toxic if one says so; null keys and labels and
-    labels without a text are left out; equal texts count once.  Without any label, or
-    with one class only, every score is the same.
+    labels without a text are left out; equal texts count once, by the least key.  Without any
+    label, or with one class only, every score is the same, as for empty tables.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -104,8 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     lab = common.stage(lab, "labels")
     # at most `rows` rows of 12 bytes
     base = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).join(F.broadcast(lab), "k")
-    once = common.stage(base.groupBy(F.xxhash64("t").alias("h")).agg(F.min("k").alias("k")), "once")
-    used = common.stage(base.join(F.broadcast(once.limit(rows).select("k").distinct()), "k").select("k", "y", "t").dropDuplicates(["k"]), "train")
+    # equal texts count once, and of a key with several texts the one of least hash
+    base = base.groupBy("k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    used = common.stage(base.groupBy(F.xxhash64("t").alias("h")).agg(F.min_by(F.struct("k", "y", "t"), "k").alias("r")).select("r.*"), "train")
     n = {r["y"]: r["count"] for r in used.groupBy("y").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
@@ -126,9 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     count = used.mapInArrow(tally, "term long, c0 long, c1 long").groupBy("term").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     share = (F.col("c0") + F.col("c1")) / (n0 + n1)
     z = (F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    strong = count.filter(F.col("c0") + F.col("c1") >= LEAST_TEXTS).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z)
-    # at most MOST_TERMS terms
-    names = np.array(sorted(r["term"] for r in strong.orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()), np.int64)
+    count = common.stage(count.filter(F.col("c0") + F.col("c1") >= LEAST_TEXTS).withColumn("z", F.abs(z)), "terms")
+    # at most MOST_TERMS and FREQUENT terms
+    strong = {r["term"] for r in count.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()}
+    frequent = {r["term"] for r in count.orderBy(F.desc(F.col("c0") + F.col("c1")), "term").limit(FREQUENT).collect()}
+    names = np.array(sorted(strong | frequent), np.int64)
 
     def place(batches):
         at = {int(h): i for i, h in enumerate(names)}
@@ -138,15 +146,43 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     # at most `rows` rows of screened terms
     sample = used.mapInArrow(place, "k string, y int, at array<int>").orderBy("k").toPandas()
-    sizes = sample["at"].map(len).to_numpy()
-    cols = np.concatenate([*sample["at"], []]).astype(np.int64)
-    return Machine(names).fit(np.repeat(np.arange(len(sample)), sizes), cols, sample["y"].to_numpy(float))
+    sizes, y = sample["at"].map(len).to_numpy(), sample["y"].to_numpy(float)
+    rows_of, cols = np.repeat(np.arange(len(sample)), sizes), np.concatenate([*sample["at"], []]).astype(np.int64)
+    kept = np.isin(names, list(strong))
+    kept[paired(rows_of, cols, y, np.flatnonzero(np.isin(names, list(frequent))))] = True
+    mine = kept[cols]
+    return Machine(names[kept]).fit(rows_of[mine], (np.cumsum(kept) - 1)[cols[mine]], y)
+
+
+def paired(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """The candidates that matter together: terms of pairs whose share differs between the
+    classes more clearly than the terms' own shares, those of largest gain first."""
+    m, n1 = len(candidates), y.sum()
+    n0, place = len(y) - n1, np.full(cols.max(initial=-1) + 1, -1)
+    place[candidates[candidates < len(place)]] = np.flatnonzero(candidates < len(place))
+    both = np.zeros((2, m, m), np.float32)
+    mine = np.flatnonzero(place[cols] >= 0)
+    for i in range(0, len(y), 2048):  # blocks of rows
+        part = mine[np.searchsorted(rows[mine], i) : np.searchsorted(rows[mine], i + 2048)]
+        x = np.zeros((min(2048, len(y) - i), m), np.float32)
+        x[rows[part] - i, place[cols[part]]] = 1
+        for k in (0, 1):
+            some = x[y[i : i + 2048] == k]
+            both[k] += some.T @ some
+    share = (both[0] + both[1]) / (n0 + n1)
+    z = np.abs(both[1] / n1 - both[0] / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
+    own = np.diag(z)
+    gain = np.where((both[0] + both[1] >= LEAST_TEXTS) & (z >= LEAST_Z), z - np.maximum(own[:, None], own[None, :]), 0)
+    best = gain.max(axis=0, initial=0)
+    order = np.argsort(-best, kind="stable")[:MOST_PAIRED]
+    return candidates[order[best[order] >= LEAST_GAIN]]
 
 
 def score(docs: DataFrame, model: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score and predicted for every row; a null text counts as empty.
 
-    One pass over the scan; rows, repeats and null keys (never held out) are kept.
+    One pass over the scan; rows, repeats and null keys (never held out) are kept.  Long texts
+    are scored whole, by their distinct terms.  Other columns play no part.
     """
     common.ship(docs.sparkSession)
     base = docs.select(F.col(f"`{key}`").alias("key"), held_out(F.col(f"`{key}`")).alias("held_out"), F.col(f"`{text}`").alias("t"))
