@@ -262,3 +262,183 @@ def test_empty_tables(spark):
     none = _docs(spark, ["x"]).filter("doc_id < 0")
     for f in (packing.pack, quality_rules.verdicts, sharding.sharded_documents, simhash_dedup.near_duplicates, suffix_dedup.report, token_counts.token_counts):
         assert f(none).count() == 0
+
+
+CLASH = ("__c", "__k", "__key", "__html", "__x", "__own", "__t", "__a", "c0", "key", "tag", "page", "component_id", "kept")
+
+
+def _clashing(spark, texts):
+    from pyspark.sql import functions as F
+
+    return _docs(spark, texts).select("*", *[F.lit(7).alias(c) for c in CLASH])
+
+
+def test_columns_of_clashing_names_stay(spark, texts):
+    from vellum.llm import decontamination, html_text, quality_rules, sharding, simhash_dedup, suffix_dedup, token_counts
+
+    docs = _clashing(spark, [*texts[:12], "<p>bench one two three four five six</p>"])
+    bench = spark.createDataFrame([(1, "bench one two three four five six")], "item_id long, text string")
+    for got in (decontamination.clean(docs, bench), simhash_dedup.one_of_each_group(docs, similarity=None), quality_rules.keep(docs), suffix_dedup.remove(docs)):
+        assert got.columns == docs.columns and all(r[c] == 7 for r in got.collect() for c in CLASH)
+    assert sharding.shard(docs, ["doc_id"], 3).columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]  # the input's own is replaced
+    assert sharding.shard(docs, ["doc_id"], 3).filter("__c = 7").count() == docs.count()
+    assert html_text.extract(docs, "text", "shown").filter("page = 7 AND __html = 7").count() == docs.count()
+    assert token_counts.token_counts(docs).filter("__c = 7").count() == docs.count()
+
+
+def test_more_empty_tables(spark, tmp_path):
+    from vellum.llm import decontamination, html_text, quality_rules, simhash_dedup, suffix_dedup, token_output, toxicity
+
+    docs = _docs(spark, ["x y z"])
+    none = docs.filter("doc_id < 0")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert decontamination.matches(none, bench).count() == decontamination.matches(docs, bench.filter("item_id < 0")).count() == 0
+    assert decontamination.clean(none, bench).count() == 0 and decontamination.clean(docs, bench.filter("item_id < 0")).count() == 1
+    token_output.write_tokens(none, str(tmp_path / "none"))
+    assert token_output.read_tokens(spark, str(tmp_path / "none")).count() == 0
+    assert html_text.extract(none.select("doc_id", "text"), "text", "t").count() == 0
+    assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
+    assert simhash_dedup.one_of_each_group(none).count() == quality_rules.keep(none).count() == suffix_dedup.remove(none).count() == 0
+
+
+def test_lost_and_long_blocks_of_tokens(spark, texts, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vellum.llm import token_output
+
+    monkeypatch.setattr(token_output, "BLOCK_TOKENS", 500)
+    path = str(tmp_path / "t")
+    token_output.write_tokens(_docs(spark, texts), path, shards=2)
+    blocks = spark.read.parquet(path + "/blocks")
+    assert blocks.filter("part").count() > 1
+    got = sorted(token_output.read_tokens(spark, path).collect(), key=lambda r: r.key)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens for r in got)
+    kept = blocks.filter(~((F.col("shard") == 0) & (F.col("block") == 1)))
+    kept.write.parquet(str(tmp_path / "u/blocks"))
+    for t in ("table", "shards"):
+        spark.read.parquet(f"{path}/{t}").write.parquet(str(tmp_path / "u" / t))
+    with pytest.raises(ValueError, match="complete"):
+        token_output.read_tokens(spark, str(tmp_path / "u"))
+
+
+def test_components_both_ways(spark):
+    from vellum.llm.simhash_dedup import components
+
+    rng = random.Random(11)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 430)]
+    root = list(range(500))
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for limit in (0, 10_000):
+        got = {r.node: r.root for r in components(df, task_links=limit).collect()}
+        assert all(got.get(i, i) == root[i] for i in range(500))
+    with pytest.raises(RuntimeError):
+        components(df, most_rounds=1, task_links=0)
+
+
+def test_suffix_array_of_small_strings(monkeypatch):
+    from vellum.llm import suffix_array
+
+    rng = random.Random(2)
+    for mean in (256, 0):
+        monkeypatch.setattr(suffix_array, "BUCKET_MEAN", mean)
+        for _ in range(150):
+            n, letters = rng.randint(0, 70), rng.choice([b"a", b"ab", b"abcdefgh"])
+            t = np.array([rng.choice(letters) for _ in range(n)] + [0], np.uint16)
+            assert suffix_array.suffix_array(t, 256).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
+
+
+def test_shards_of_several_buckets(spark, monkeypatch):
+    from vellum.llm import sharding
+
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 5)
+    rows = sharding.shard(spark.range(1000), ["id"], 8).collect()
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(125))
+    # uniform: the chi-squared statistic of (id range, shard) counts, 7 x 7 degrees of freedom
+    seen = Counter((r.id // 125, r.shard) for r in rows)
+    assert sum((seen[i, j] - 15.625) ** 2 / 15.625 for i in range(8) for j in range(8)) < 95
+
+
+def test_html_of_odd_build():
+    import time
+
+    from vellum.llm.html_text import page_text
+
+    begun = time.time()
+    assert page_text("<a " * 350_000) == "" and page_text("<p>x" + "<a '" * 250_000).startswith("x")
+    assert page_text("<script>" + "</script " * 100_000) == ""
+    assert page_text("<div>" * 10_000 + "<div hidden>secret</div>ok") == "ok"
+    wide = page_text("<table>" + "<tr><td>a<td>b" * 1000 + "<tr><td>" + "z" * 1_000_000 + "</table>")
+    assert len(wide) < 1_200_000 and time.time() - begun < 20
+    assert page_text("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>") == "ab    c\n1  2  3"
+    assert page_text("<table><tr><td rowspan=2>ab<td>c<tr><td>2</table>") == "ab  c\n    2"
+    assert page_text("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span></div>") == "yes"
+    assert page_text('a<a href="x>y">l</a> b < c') == "al b < c"
+
+
+def test_toxicity_learns_pairs(spark):
+    from vellum.llm.toxicity import score, train
+
+    rng = random.Random(5)
+    texts, toxic = [], {}
+    for i in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice(["calm", "blue", "tree", "road", "wind"]) for _ in range(12)] + ["alpha"] * a + ["omega"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words) + f" u{i}")
+        toxic[i] = int(a == b)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    rows = score(_docs(spark, texts), train(_docs(spark, texts), labels)).filter("held_out").collect()
+    assert sum(r.predicted == toxic[r.doc_id] for r in rows) > 0.97 * len(rows)
+
+
+def test_very_long_text(spark):
+    from vellum.llm import packing, quality_rules, simhash_dedup, suffix_dedup, token_counts
+
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400_000))
+    docs = _docs(spark, [text, text[:900_000], "short one"])
+    assert token_counts.token_counts(docs).filter("over_limit").count() == 2
+    assert {r.doc_id: r.n for r in packing.pack(docs).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}[0] > 400_000
+    assert simhash_dedup.near_duplicates(docs).count() == quality_rules.verdicts(docs).count() == 3
+    got = {r.doc_id: r for r in suffix_dedup.report(docs).collect()}
+    assert got[1].n_removed == 900_000 and got[0].n_removed == 900_000
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    clean = [text(150) for _ in range(40)]
+    passage, item = text(60), text(40)
+    near = clean[0].split()
+    near[70] = "changed"
+    rows = [*clean, clean[1], " ".join(near), None, "", "too short", "again " * 200]
+    rows += [f"{text(80)} {passage} {text(80)}" for _ in range(3)] + [f"{text(60)} {item} {text(60)}"]
+    docs = _docs(spark, rows).withColumnRenamed("__w", "extra")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    staged, now = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, now, str(tmp_path))
+        made.write.parquet(str(tmp_path / name))
+        now = staged[name] = spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or now.columns == docs.columns
+    of = lambda name: {r.doc_id for r in staged[name].collect()}
+    assert of("quality_rules") == set(range(42)) | {46, 47, 48, 49}
+    assert of("simhash_near_dedup") == set(range(40)) | {46, 47, 48, 49}
+    cut = {r.doc_id: r.text for r in staged["suffix_array_dedup"].collect()}
+    assert all(cut[i] == rows[i] for i in range(40)) and all(passage[20:-20] not in cut[i] for i in (46, 47, 48))
+    assert of("decontamination") == of("packing") == set(range(40)) | {46, 47, 48}
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(key, staged["packing"].collect()))
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).filter("false").write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

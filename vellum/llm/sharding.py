@@ -85,11 +85,14 @@ def shard(df: DataFrame, identity: list[str], shards: int = SHARDS, seed: int =
     replaced.
     """
     spark = df.sparkSession
-    base = df.drop("shard", "slot")
+    carried = [c for c in df.columns if c not in ("shard", "slot")]
     who = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in identity]
+    keys = {"__c": _key(seed, who), "__a": _key(seed + 1, who), "__b": _key(seed + 2, who)}
+    # the rows' own columns go under numbered names, so that none clashes
+    base = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], *[k.alias(n) for n, k in keys.items()])
     total = df.count()
     chunks = min(MOST_CHUNKS, max(LEAST_CHUNKS, -(-total // CHUNK_ROWS)))
-    base = base.withColumn("__c", F.pmod(_key(seed, who), chunks).cast("int")).withColumn("__a", _key(seed + 1, who)).withColumn("__b", _key(seed + 2, who))
+    base = base.withColumn("__c", F.pmod("__c", F.lit(chunks)).cast("int"))
     # at most MOST_CHUNKS counts
     found = {r["__c"]: r["count"] for r in base.groupBy("__c").count().collect()}
     counts = [found.get(c, 0) for c in range(chunks)]
@@ -116,7 +119,7 @@ def shard(df: DataFrame, identity: list[str], shards: int = SHARDS, seed: int =
         sizes = sent.groupBy("shard", "__q").agg(F.count("*").alias("__n"))
         before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
         done = sent.withColumn("__i", rank).join(before, ["shard", "__q"]).withColumn("slot", (F.col("__before") + F.col("__i")).cast("long"))
-    return done.select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carried)], "shard", "slot")
 
 
 def sharded_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
