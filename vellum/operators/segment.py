@@ -26,7 +26,8 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     read as LF.  Keys must be unique.
     """
     base = docs.select(F.col(f"`{key}`").alias("k"), F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\r\n"), F.lit("\n")).alias("t"))
-    lines = base.filter(F.col("t") != "").select("k", F.size(F.split("t", "\n")).alias("m"), F.posexplode(F.split("t", "\n")).alias("ln", "l"))
+    # an inner explode would make Spark compute its array a second time, in a filter below it
+    lines = base.filter(F.col("t") != "").select("k", F.size(F.split("t", "\n")).alias("m"), F.posexplode_outer(F.split("t", "\n")).alias("ln", "l"))
     w = Window.partitionBy("k").orderBy("ln")
     # one window order serves all line columns; the partitioning is reused by the ids below
     lines = lines.withColumn("blank", ~F.col("l").rlike(r"(?U)\S")).withColumn("nl", F.when(F.col("ln") < F.col("m") - 1, "\n").otherwise(""))
@@ -42,7 +43,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     marked = F.regexp_replace("body", _PERIOD, MARK)
     parts = F.when(whole, F.array("body")).otherwise(F.transform(F.regexp_extract_all(marked, F.lit(_PART), F.lit(0)), lambda p: F.replace(p, F.lit(MARK), F.lit("."))))
     content = content.withColumn("parts", parts).withColumn("np", F.size("parts"))
-    rows = content.select("k", "ln", "paragraph", "tail", "np", F.posexplode("parts").alias("pi", "part"), "body")
+    rows = content.select("k", "ln", "paragraph", "tail", "np", F.posexplode_outer("parts").alias("pi", "part"), "body").filter("pi IS NOT NULL")
     core = F.rtrim(F.col("part"), F.lit(" \t"))
     rows = rows.withColumn("text", core).withColumn("sep", F.concat(F.substring("part", F.length(core) + 1, F.length("part")), F.when(F.col("pi") == F.col("np") - 1, F.col("tail")).otherwise("")))
     ids = F.row_number().over(Window.partitionBy("k").orderBy("ln", "pi"))

@@ -399,7 +399,7 @@ def runs(spark, sf):
     return run(_fx(spark), outputs)
 
 
-SQL["runs"] = """SELECT * FROM (VALUES (1, 'review', 'reviewed', 0, '', false), (2, 'rewrite', 'pass', 2, 'Dear Ann,' || chr(10) || 'We raise 4 million. Version 1.2.3 works? Yes.', false), (3, 'file', 'no_output', 0, '', false),
+SQL["runs"] = """SELECT * FROM (VALUES (1, 'review', 'reviewed', 1, '', false), (2, 'rewrite', 'pass', 2, 'Dear Ann,' || chr(10) || 'We raise 4 million. Version 1.2.3 works? Yes.', false), (3, 'file', 'no_output', 0, '', false),
  (4, 'file', 'stopped', 0, '', false), (5, 'rewrite', 'no_output', 0, '', false), (6, 'rewrite', 'fail', 1, '', true), (7, 'rewrite', 'stopped', 0, '', false), (8, 'file', 'stopped', 0, '', false), (9, 'rewrite', 'no_output', 0, '', false)) AS v(doc_id, mode, status, rounds, output_text, partial)"""
 _W = WORD.replace("{2019}", "{2019}")
 SQL["eval_scores"] = f"""WITH {_PAIRS}, k AS (SELECT doc_id AS case_id, b <> '' AS delivered, string_split(a, ' ') AS w, contains(regexp_replace(b, '\\s+', '', 'g'), regexp_replace(string_split(a, ' ')[1], '\\s+', '', 'g')) AS kept, NOT contains(b, '###') AS dropped, len(regexp_extract_all(b, '{_W}')) / greatest(len(regexp_extract_all(a, '{_W}')), 1) >= 0.5 AS long FROM pr),
