@@ -100,7 +100,7 @@ def _verified(base: DataFrame, pairs: DataFrame, similarity: float, shingle: int
     sized = pairs.join(count, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
     few = pairs.count() <= common.BROADCAST_ROWS  # then texts stay where they are
     count, sized = (F.broadcast(count), F.broadcast(sized)) if few else (count, sized)
-    centre = base.join(count, base.key == count.a).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
+    centre = base.join(count, base.key == count.a).select("a", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
     member = base.join(sized, base.key == sized.b).select("a", "block", "b", "text")
     dealt = centre.unionByName(member).repartition(common.partitions(base), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
@@ -181,7 +181,7 @@ def _rest(base: DataFrame, at: DataFrame, similarity: float, shingle: int) -> Da
     h = F.xxhash64("key", F.lit("block"))
     j = j.withColumn("own", F.when(is_main, F.col("other_blocks") + F.pmod(h, "main_blocks").cast("int")).otherwise(F.pmod(h, "other_blocks").cast("int")))
     meets = F.sequence(F.lit(0), F.when(is_main, F.col("other_blocks") - 1).otherwise(F.col("other_blocks") + F.col("main_blocks") - 1))
-    j = j.select("group", "large", "key", "root", "own", F.explode(meets).alias("o")).select("group", "large", "key", "root", "own", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
+    j = j.select("group", "large", "key", "root", "own", F.explode_outer(meets).alias("o")).select("group", "large", "key", "root", "own", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"))
     j = common.stage(j, "dealt")
     dealt = base.withColumnRenamed("key", "k").join(common.small(j), F.col("k") == F.col("key")).select("group", "large", "x", "y", "key", "root", "own", "text")
     dealt = dealt.repartition(common.partitions(base), "group", "large", "x", "y").sortWithinPartitions("group", "large", "x", "y")
@@ -229,7 +229,7 @@ def links(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id",
     copies = sketches.groupBy("copy").agg(F.min("key").alias("key"))
     equal = sketches.join(copies.withColumnRenamed("key", "a"), "copy").filter("key <> a").select("a", F.col("key").alias("b"))
     distinct = sketches.join(copies.select("key"), "key", "left_semi")
-    bucket = distinct.select("key", "size", F.explode("bands").alias("bucket"))
+    bucket = distinct.select("key", "size", F.explode_outer("bands").alias("bucket"))
     shared = bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     bucket = common.stage(bucket.join(shared.hint("shuffle_hash"), "bucket"), "buckets")
     found = common.stage(equal, "links")

@@ -177,7 +177,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     pair = F.when(F.col("n") <= block, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: (F.least(o, F.col("own")).cast("long") * (1 << 31) + F.greatest(o, F.col("own"))))
     )
-    dealt = member.withColumn("own", own).select("key", F.explode(pair).alias("pair"), "fp")
+    dealt = member.withColumn("own", own).select("key", F.explode_outer(pair).alias("pair"), "fp")
     dealt = dealt.repartition(common.partitions(fps), "key", "pair").sortWithinPartitions("key", "pair")
     return dealt.mapInArrow(_links_in_cells(radius), "a long, b long").distinct()
 
