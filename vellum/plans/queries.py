@@ -143,12 +143,34 @@ def literal_numbers(spark, sf):
     return items.groupBy("doc_id", "sentence").agg(F.array_join(F.sort_array(F.collect_list("text")), ";").alias("numbers"))
 
 
+def literal_dates_versions(spark, sf):
+    items = extract.literal_items(segment.sentences(_both(spark, sf))).filter("kind IN ('date', 'version')")
+    return items.select("doc_id", "sentence", "ord", "kind", "text")
+
+
 def literal_names(spark, sf):
     items = extract.literal_items(segment.sentences(_both(spark, sf))).filter("kind = 'name'")
     return items.groupBy("doc_id", "sentence").agg(F.array_join(F.sort_array(F.collect_list("text")), ";").alias("names"))
 
 
 _NAMES = "list_filter(list_transform(regexp_extract_all(regexp_replace(text, '([^A-Za-z⟦-]|^)([A-Z])', '\\1' || chr(2) || '\\2', 'g'), '\\x02([A-Z][A-Za-z0-9\\x02]+(?:[ -]\\x02?[A-Z][A-Za-z0-9\\x02]+)*)(?:[^A-Za-z⟧]|$)', 1), lambda x: replace(x, chr(2), '')), lambda x: length(x) >= 3 OR (length(x) >= 2 AND upper(x) <> x))"
+# RE2 knows no lookaround: chr(2) marks where a number may begin, and the character after it is matched as well.
+_SPACE, _ITEM = r"[\x09-\x0D\x{85}\p{Z}]", "list_transform({found}, lambda x: {{'kind': '{kind}', 'text': {text}}})"
+_NUMBER = rf"\x02(\p{{Nd}}[\p{{Nd}},\x02]*(?:\.\p{{Nd}}+)?){_SPACE}*({extract.UNITS})?(?:[^0-9A-Za-z\x02]|$)"
+_MARKED = r"regexp_replace(text, '([^0-9A-Za-z.]|^)(\p{Nd})', '\1' || chr(2) || '\2', 'g')"
+_FOUND = [
+    ("date", f"regexp_extract_all(text, '{extract.DATE.removeprefix('(?U)')}')", "trim(x)"),
+    ("version", f"regexp_extract_all(text, '{extract.VERSION.removeprefix('(?U)')}')", "x"),
+    ("number", f"list_zip(regexp_extract_all({_MARKED}, '{_NUMBER}', 1), regexp_extract_all({_MARKED}, '{_NUMBER}', 2))", "replace(x[1], chr(2), '') || CASE WHEN coalesce(x[2], '') <> '' THEN ' ' || x[2] ELSE '' END"),
+    ("name", _NAMES, "x"),
+]
+_LITERAL = f"""ub AS (SELECT doc_id, id AS sentence, regexp_replace(text, '{extract.TOKEN}', ' ', 'g') AS text FROM sent WHERE NOT protected),
+ui AS (SELECT doc_id, sentence, {" || ".join(_ITEM.format(kind=k, found=f, text=t) for k, f, t in _FOUND)} AS items FROM ub),
+ur AS (SELECT doc_id, sentence, unnest(range(1, len(items) + 1)) AS pos, unnest(items) AS i FROM ui),
+uf AS (SELECT doc_id, sentence, i.text AS text, min(pos) AS pos, arg_min(i.kind, pos) AS kind FROM ur WHERE i.text <> '' GROUP BY doc_id, sentence, i.text),
+lit AS (SELECT doc_id, sentence, CAST(row_number() OVER (PARTITION BY doc_id, sentence ORDER BY pos) AS INTEGER) AS ord, kind, text FROM uf)"""
+SQL["literal_numbers"] = f"WITH {SENT}, {_LITERAL} SELECT doc_id, sentence, string_agg(text, ';' ORDER BY text) AS numbers FROM lit WHERE kind = 'number' GROUP BY doc_id, sentence"
+SQL["literal_dates_versions"] = f"WITH {SENT}, {_LITERAL} SELECT * FROM lit WHERE kind IN ('date', 'version')"
 SQL["literal_names"] = f"WITH {SENT} SELECT doc_id, id AS sentence, array_to_string(list_sort(list_distinct({_NAMES})), ';') AS names FROM sent WHERE NOT protected AND len({_NAMES}) > 0"
 
 
@@ -449,10 +471,34 @@ def judge_prompt(spark, sf):
     return compose.judge_prompt(d, patching.change_blocks(s, good), "T")
 
 
+_BLOCK = "'### 块 [' || id || ']' || chr(10) || '前一句：' || CASE WHEN coalesce(prev, '') = '' THEN '（无）' ELSE prev END || chr(10) || '原文：' || was || chr(10) || '改文：' || CASE WHEN id = 2 AND doc_id % 3 = 0 THEN '（整句删除）' WHEN id = 2 THEN 'Changed!' WHEN zh THEN 'One.Two.' ELSE 'One. Two.' END || chr(10) || '后一句：' || CASE WHEN coalesce(next, '') = '' THEN '（无）' ELSE next END"
+SQL["judge_prompt"] = f"""WITH {_ONLY}, w AS (SELECT doc_id, id, rtrim(text || sep, ' ' || chr(9) || chr(10)) AS was, lag(text) OVER (PARTITION BY doc_id ORDER BY id) AS prev, lead(text) OVER (PARTITION BY doc_id ORDER BY id) AS next FROM sent),
+k AS (SELECT doc_id, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY id) AS blocks FROM (SELECT *, {_N(CJK, 'was')} >= {_N(WORD, 'was')} AS zh FROM w WHERE id IN (2, 3)) GROUP BY doc_id)
+SELECT doc_id, concat_ws(chr(10) || chr(10), 'T', '## 变更块', coalesce(blocks, '（没有字面改动）')) AS prompt FROM documents LEFT JOIN k USING (doc_id)"""
+
+
+def _made_verdicts(docs: DataFrame) -> DataFrame:
+    """Model outputs by rule for every document: a long table, a short one, or no section."""
+    sentence = (F.col("doc_id") % 4 + 1).cast("string")
+    long = F.concat(F.lit("<<<VERDICT>>>\n| ID | 句 | 规则 | 触发 | 裁决 | 理由 | 修法 |\n|---|---|---|---|---|---|---|\n| S1 | "), sentence, F.lit(" | R-1 | a | 确认 | x | y |\n| S2 | 2 | R-2 | b | 排除 | x | |\n| | 3 | R-3 | c | 确认 | z | w |\n<<<END>>>"))
+    short = F.concat(F.lit("<<<VERDICT>>>\n| ID | 裁决 | 理由 |\n|---|---|---|\n| S"), sentence, F.lit(" | 新增 | r |\n<<<END>>>"))
+    kind = F.col("doc_id") % 3
+    return docs.select("doc_id", F.when(kind == 0, long).when(kind == 1, short).otherwise("no sections").alias("raw"))
+
+
 def rewrite_prompt(spark, sf):
-    """Prompts of all documents, with the verdicts of the fixture's outputs."""
+    """Prompts of all documents, with verdicts by rule."""
     s = segment.sentences(_docs(spark, sf))
-    return compose.rewrite_prompt(_triaged(spark, sf), segment.numbered(s), extract.literal_items(s), protocol.verdicts(_outputs(spark), ["doc_id"]), "T", {"structural": "E"})
+    verdicts = protocol.verdicts(_made_verdicts(_docs(spark, sf)), ["doc_id"])
+    return compose.rewrite_prompt(_triaged(spark, sf), segment.numbered(s), extract.literal_items(s), verdicts, "T", {"structural": "E"})
+
+
+_BLANK = SQL["triage_axes"].partition("FROM (VALUES")[0] + "FROM (SELECT doc_id, text, '' AS request, '' AS file_path FROM documents))" + SQL["triage_axes"].partition("FROM documents)")[2]
+_CLUE = "CASE genre " + " ".join(f"WHEN {_q(g)} THEN {_q(c)}" for g, c in compose.GENRE_CLUES.items()) + " END"
+_HEADED = {"本次四条轴": f"'按' || genre || '处理，依据是' || {_CLUE} || '；模式：改写；力度：改写；范围：' || scope || '；声口：{compose.VOICE}。要按别的体裁可以说一声。'", "逐字项（改写后必须原样存在）": "coalesce(items, '（无）')", "裁决后的问题清单": f"{_q(compose.VERDICT_HEAD)} || CASE doc_id % 3 WHEN 0 THEN chr(10) || '| S1 | ' || (doc_id % 4 + 1) || ' | R-1 | a | 确认 | x | y |' WHEN 1 THEN chr(10) || '| S' || (doc_id % 4 + 1) || ' |  |  |  | 新增 | r |  |' ELSE '' END", "范例": "CASE WHEN scope = 'structural' THEN 'E' ELSE '' END", "编号正文": "coalesce(numbered, '')"}
+SQL["rewrite_prompt"] = f"""WITH {_ONLY}, {_LITERAL}, ax AS ({_BLANK}), it AS (SELECT doc_id, string_agg('- 第 ' || sentence || ' 句：' || text || '（' || kind || '）', chr(10) ORDER BY sentence, ord) AS items FROM lit GROUP BY doc_id),
+nb AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY id) AS numbered FROM (SELECT doc_id, id, CASE WHEN paragraph <> lag(paragraph) OVER (PARTITION BY doc_id ORDER BY id) THEN chr(10) ELSE '' END || '[' || id || '] ' || text AS line FROM sent) GROUP BY doc_id)
+SELECT doc_id, concat_ws(chr(10) || chr(10), 'T', {', '.join(f"'## {t}', {b}" for t, b in _HEADED.items())}) AS prompt FROM ax LEFT JOIN it USING (doc_id) LEFT JOIN nb USING (doc_id)"""
 
 
 def rewrite_report(spark, sf):
@@ -478,7 +524,7 @@ SQL["rewrite_report"] = " UNION ALL ".join([
 QUERIES = {
     f.__name__: f
     for f in (
-        text_profile, sentence_split, sentence_count, sentence_join, numbered_text, phrase_hits_by_rule, semantic_items, literal_numbers, literal_names, credential_gate, prose_gate, url_spans, protected_spans, triage_axes,
+        text_profile, sentence_split, sentence_count, sentence_join, numbered_text, phrase_hits_by_rule, semantic_items, literal_numbers, literal_dates_versions, literal_names, credential_gate, prose_gate, url_spans, protected_spans, triage_axes,
         verdict_parse, ledger_parse, pending_parse, judge_parse, patch_parse, patch_scope, patch_validate, patch_apply, verify_signals, rescan_delta, verify_status, ledger_gap, review_report, corpus_rollup, eval_scores, runs,
         literals_missing, detector_scan, diagnose_prompt, judge_prompt, rewrite_prompt, rewrite_report,
     )
