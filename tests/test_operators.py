@@ -11,14 +11,13 @@ from vellum.operators import gates, patching, protect, protocol, segment, verify
 from vellum.plans import queries
 
 SF = "/root/testdata/sf0.001"
-CHEAP = [q for q in queries.SQL if q not in ("runs",)]
 
 
 def _rows(df):
     return sorted(map(repr, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
 
 
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", queries.SQL)
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "pages"):
@@ -170,10 +169,22 @@ def test_runs_verify_every_round_and_take_the_rewrite_after_the_judge(spark):
     }
 
 
-def test_runs_equal_their_sql(spark):
-    want = duckdb.sql(queries.SQL["runs"])
-    names = [d[0] for d in want.description]
-    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[n] for n in names)) for r in queries.QUERIES["runs"](spark, SF).collect())
+def test_runs_of_small_documents(spark):
+    from vellum.plans.runner import run
+
+    outputs = [
+        (1, "diagnose", 1, queries.FX_OUTPUTS[0][2]), (2, "diagnose", 1, ""),
+        (2, "rewrite", 1, "<<<PATCH>>>\n[9] -> x\n<<<END>>>\n<<<LEDGER>>>\n<<<END>>>"),
+        (2, "rewrite", 2, "<<<PATCH>>>\n[2] -> We raise 4 million.\n<<<END>>>\n<<<LEDGER>>>\n<<<END>>>"),
+        (6, "rewrite", 1, "no sections"),
+    ]
+    docs = spark.createDataFrame(queries.FX_DOCS, "doc_id long, text string, request string, file_path string")
+    got = run(docs, spark.createDataFrame(outputs, "doc_id long, step string, round int, raw string")).collect()
+    assert {r.doc_id: (r.mode, r.status, r.rounds, r.partial) for r in got} == {
+        1: ("review", "reviewed", 1, False), 2: ("rewrite", "pass", 2, False), 3: ("file", "no_output", 0, False), 4: ("file", "stopped", 0, False), 5: ("rewrite", "no_output", 0, False),
+        6: ("rewrite", "fail", 1, True), 7: ("rewrite", "stopped", 0, False), 8: ("file", "stopped", 0, False), 9: ("rewrite", "no_output", 0, False),
+    }
+    assert [r.output_text for r in got if r.output_text] == ["Dear Ann,\nWe raise 4 million. Version 1.2.3 works? Yes."]
 
 
 def test_cases_of_files_keep_every_assertion(spark, tmp_path, monkeypatch):

@@ -409,20 +409,45 @@ def eval_scores(spark, sf):
     return report.eval_summary(report.eval_checks(cases, d.select(F.col("doc_id").alias("case_id"), F.col("restored").alias("output"))))
 
 
+def _made_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs, outputs) by rule, by doc_id % 8: 0 a review, 1 a file that isn't prose, 2 no
+    outputs, 3 a bad patch and then a good one, 4 a first sentence replaced, 5 a ledger with
+    a gap and then a signal, 6 a judge that finds the first rewrite distorted, 7 a split
+    where sentences must stay."""
+    k = F.col("doc_id") % 8
+    request = F.when(k == 0, "审稿").when(k == 7, "一句不删").otherwise("")
+    made = docs.select("doc_id", "text", request.alias("request"), F.when(k == 1, "main.py").alias("file_path"))
+    first = segment.sentences(docs.select("doc_id", "text")).filter("id = 1").select("doc_id", F.col("text").alias("s"))
+    ledger = "\n<<<LEDGER>>>\n| ID | 动作 | 说明 |\n|---|---|---|\n| S1 | 已改 | done |\n<<<END>>>"
+    patch = lambda x, after="\n<<<LEDGER>>>\n<<<END>>>": F.concat(F.lit("<<<PATCH>>>\n"), x, F.lit("\n<<<END>>>" + after))
+    with_end = lambda end: F.concat(F.lit("[1] -> "), F.coalesce("s", F.lit("")), F.lit(" || " + end))
+    judge = lambda x: F.lit(f"<<<JUDGE>>>\n| 块 | 结果 | 项 | 说明 |\n|---|---|---|---|\n| [1] | {x} | | |\n<<<END>>>")
+    steps = [
+        (3, "rewrite", 1, patch(F.lit("[99999] -> x"))), (3, "rewrite", 2, patch(with_end("So it is."))), (4, "rewrite", 1, patch(F.lit("[1] -> So it is."))),
+        (5, "diagnose", 1, F.lit("<<<VERDICT>>>\n| ID | 裁决 | 理由 |\n|---|---|---|\n| S1 | 确认 | r |\n<<<END>>>")), (5, "rewrite", 1, patch(with_end("So it is."))), (5, "rewrite", 2, patch(with_end("So it is!"), ledger)),
+        (6, "rewrite", 1, patch(with_end("So it is."))), (6, "judge", 1, judge("失真")), (6, "rewrite", 2, patch(with_end("It is so."))), (6, "judge", 2, judge("通过")), (7, "rewrite", 1, patch(with_end("So it is."))),
+    ]
+    rows = F.array(*[F.when(k == c, F.struct(F.lit(step).alias("step"), F.lit(n).alias("round"), raw.alias("raw"))) for c, step, n, raw in steps])
+    return made, docs.select("doc_id").join(first, "doc_id", "left").select("doc_id", F.explode(F.array_compact(rows)).alias("x")).select("doc_id", "x.*")
+
+
 def runs(spark, sf):
     from vellum.plans.runner import run
 
-    outputs = spark.createDataFrame([
-        (1, "diagnose", 1, FX_OUTPUTS[0][2]), (2, "diagnose", 1, ""),
-        (2, "rewrite", 1, "<<<PATCH>>>\n[9] -> x\n<<<END>>>\n<<<LEDGER>>>\n<<<END>>>"),
-        (2, "rewrite", 2, "<<<PATCH>>>\n[2] -> We raise 4 million.\n<<<END>>>\n<<<LEDGER>>>\n<<<END>>>"),
-        (6, "rewrite", 1, "no sections"),
-    ], "doc_id long, step string, round int, raw string")
-    return run(_fx(spark), outputs)
+    return run(*_made_runs(_docs(spark, sf)))
 
 
-SQL["runs"] = """SELECT * FROM (VALUES (1, 'review', 'reviewed', 1, '', false), (2, 'rewrite', 'pass', 2, 'Dear Ann,' || chr(10) || 'We raise 4 million. Version 1.2.3 works? Yes.', false), (3, 'file', 'no_output', 0, '', false),
- (4, 'file', 'stopped', 0, '', false), (5, 'rewrite', 'no_output', 0, '', false), (6, 'rewrite', 'fail', 1, '', true), (7, 'rewrite', 'stopped', 0, '', false), (8, 'file', 'stopped', 0, '', false), (9, 'rewrite', 'no_output', 0, '', false)) AS v(doc_id, mode, status, rounds, output_text, partial)"""
+# The documents hold no protected spans, so a text restored is its sentences joined.
+SQL["runs"] = f"""WITH {_ONLY}, {_LITERAL}, cg AS ({SQL["credential_gate"].replace(BOTH, "documents")}),
+j AS (SELECT doc_id, string_agg(CASE WHEN id > 1 THEN text || sep ELSE '' END, '' ORDER BY id) AS rest, max(CASE WHEN id = 1 THEN text END) AS s, max(CASE WHEN id = 1 THEN sep END) AS sep FROM sent GROUP BY doc_id),
+d AS (SELECT doc_id, doc_id % 8 AS k, coalesce(text, '') AS t, s, s IS NOT NULL AS full_text, coalesce(kinds, '') <> '' OR doc_id % 8 = 1 AS stopped,
+ CASE doc_id % 8 WHEN 4 THEN 'So it is.' ELSE s || CASE doc_id % 8 WHEN 5 THEN ' So it is!' WHEN 6 THEN ' It is so.' ELSE ' So it is.' END END || sep || rest AS o FROM documents LEFT JOIN cg USING (doc_id) LEFT JOIN j USING (doc_id)),
+gone AS (SELECT DISTINCT doc_id FROM lit JOIN d USING (doc_id) WHERE k = 4 AND NOT contains(regexp_replace(o, '\\s+', '', 'g'), regexp_replace(text, '\\s+', '', 'g'))),
+m AS (SELECT *, {_N(CJK, 't')} AS zh, {_N(WORD, 't')} AS en, {_N(CJK, 'o')} AS zh2, {_N(WORD, 'o')} AS en2, gone.doc_id IS NOT NULL AS lost FROM d LEFT JOIN gone USING (doc_id)),
+v AS (SELECT *, CASE WHEN NOT full_text OR lost OR k = 7 THEN 'fail' WHEN k = 5 OR CASE WHEN zh >= en THEN zh2 < zh * {verify.LENGTH_FLOOR} ELSE en2 < en * {verify.LENGTH_FLOOR} END THEN 'pass_with_signals' ELSE 'pass' END AS done FROM m),
+r AS (SELECT *, CASE WHEN stopped THEN 'stopped' WHEN k = 0 THEN 'reviewed' WHEN k = 2 THEN 'no_output' ELSE done END AS status FROM v)
+SELECT doc_id, CASE k WHEN 0 THEN 'review' WHEN 1 THEN 'file' ELSE 'rewrite' END AS mode, status, CASE WHEN status = 'reviewed' THEN 1 WHEN status IN ('stopped', 'no_output') THEN 0 WHEN k IN (3, 5, 6) THEN 2 ELSE 1 END AS rounds,
+ CASE WHEN status IN ('pass', 'pass_with_signals') THEN o ELSE '' END AS output_text, status = 'fail' AS partial FROM r"""
 _W = WORD.replace("{2019}", "{2019}")
 SQL["eval_scores"] = f"""WITH {_PAIRS}, k AS (SELECT doc_id AS case_id, b <> '' AS delivered, string_split(a, ' ') AS w, contains(regexp_replace(b, '\\s+', '', 'g'), regexp_replace(string_split(a, ' ')[1], '\\s+', '', 'g')) AS kept, NOT contains(b, '###') AS dropped, len(regexp_extract_all(b, '{_W}')) / greatest(len(regexp_extract_all(a, '{_W}')), 1) >= 0.5 AS long FROM pr),
 c AS (SELECT case_id, delivered AS pass FROM k UNION ALL SELECT case_id, kept FROM k WHERE delivered AND len(w) > 1 UNION ALL SELECT case_id, dropped FROM k WHERE delivered UNION ALL SELECT case_id, long FROM k WHERE delivered)
