@@ -527,24 +527,23 @@ SELECT doc_id, concat_ws(chr(10) || chr(10), 'T', {', '.join(f"'## {t}', {b}" fo
 
 
 def rewrite_report(spark, sf):
-    o, docs = _outputs(spark), _fx(spark)
-    facts = triage.axes(docs).withColumn("triage_line", F.col("mode")).withColumn("rounds", F.lit(1)).withColumn("partial", F.col("doc_id") == 2).join(o.select("doc_id"), "doc_id", "left_semi")
-    scan = spark.createDataFrame([(1, "R-1", 2, 1), (1, "R-2", 1, 3), (1, "R-3", 1, 0)], "doc_id long, rule string, before int, after int")
-    signals = spark.createDataFrame([(1, 1, "dash_added"), (1, 2, "emoji_added")], "doc_id long, ord int, signal string")
+    """Reports of all documents: outputs by rule, with changes, with open points, or empty."""
+    k, n = F.col("doc_id") % 3, (F.col("doc_id") % 4 + 1).cast("string")
+    changed = F.concat(F.lit("<<<VERDICT>>>\n| ID | 句 | 规则 | 触发 | 裁决 | 理由 | 修法 |\n|---|---|---|---|---|---|---|\n| S1 | "), n, F.lit(" | R-1 | a | 确认 | x | y |\n<<<END>>>\n<<<LEDGER>>>\n| ID | 动作 | 说明 |\n|---|---|---|\n| S1 | 已改 | done |\n| S3 | 其他 | ? |\n| S1 | 保留 | left |\n<<<END>>>"))
+    unsure = F.concat(F.lit("<<<PENDING>>>\n| 句 | 原文 | 理由 |\n|---|---|---|\n| 第 "), n, F.lit(" 句 | text | why |\n<<<END>>>\n<<<JUDGE>>>\n| 块 | 结果 | 项 | 说明 |\n|---|---|---|---|\n| [1] | 通过 | | ok |\n| [2] | 失真 | n | bad |\n<<<END>>>"))
+    docs = _docs(spark, sf).select("doc_id")
+    o = docs.withColumn("raw", F.when(k == 0, changed).when(k == 1, unsure).otherwise("nothing here"))
+    facts = _triaged(spark, sf).withColumn("triage_line", F.col("mode")).withColumn("rounds", k + 1).withColumn("partial", k == 1)
+    scan = docs.filter(k == 0).select("doc_id", F.lit("R-1").alias("rule"), F.lit(2).alias("before"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(3).alias("after"))
+    signals = docs.filter(k == 1).select("doc_id", F.lit(1).alias("ord"), F.lit("dash_added").alias("signal"))
     parts = [f(o, ["doc_id"]) for f in (protocol.ledger, protocol.verdicts, protocol.pending, protocol.judge)]
     return compose.rewrite_report(facts, *parts, scan, signals)
 
 
-def _report_sql(doc: int, *lines: str) -> str:
-    return f"SELECT CAST({doc} AS BIGINT) AS doc_id, concat_ws(chr(10), {', '.join(map(_q, lines))}) AS report"
-
-
-_PREMISE = "- 体裁自动判定：通用长文，依据：无线索命中。"
-SQL["rewrite_report"] = " UNION ALL ".join([
-    _report_sql(1, "## 改动说明", "review", "- S1（R-1）：done", "", "## 残留清单", "- S3：其他，?", "- 复扫仍有命中的规则：R-1, R-2", "- 复扫发现改写新引入的规则命中：R-2", "", "## 前提声明", _PREMISE, "- 复核信号（不阻断）：dash_added, emoji_added。", "- 轮数：1。"),
-    _report_sql(2, compose.PARTIAL, "## 改动说明", "rewrite", "", "## 残留清单", "- 无", "", "## 建议删除（待确认）", "- 第 2 句：text｜why", "", "## 需作者确认", "- [2]：失真（n），bad", "", "## 前提声明", "- 体裁自动判定：商务邮件，依据：有称呼加募资措辞。", "- 轮数：1。"),
-    _report_sql(3, "## 改动说明", "file", "", "## 残留清单", "- 无", "", "## 前提声明", _PREMISE, "- 轮数：1。"),
-])
+SQL["rewrite_report"] = f"""WITH ax AS ({_BLANK}) SELECT doc_id, concat_ws(chr(10), CASE WHEN doc_id % 3 = 1 THEN {_q(compose.PARTIAL)} END, '## 改动说明', mode, CASE WHEN doc_id % 3 = 0 THEN '- S1（R-1）：done' END, chr(10) || '## 残留清单',
+ CASE WHEN doc_id % 3 = 0 THEN '- S3：其他，?' || chr(10) || '- S1（R-1），第 ' || (doc_id % 4 + 1) || ' 句：保留，left' ELSE '- 无' END, CASE WHEN doc_id % 3 = 0 THEN '- 复扫仍有命中的规则：R-1' END, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 1 THEN '- 复扫发现改写新引入的规则命中：R-1' END, '',
+ CASE WHEN doc_id % 3 = 1 THEN '## 建议删除（待确认）' || chr(10) || '- 第 ' || (doc_id % 4 + 1) || ' 句：text｜why' || chr(10) END, CASE WHEN doc_id % 3 = 1 THEN '## 需作者确认' || chr(10) || '- [2]：失真（n），bad' || chr(10) END, '## 前提声明', '- 体裁自动判定：' || genre || '，依据：' || {_CLUE} || '。',
+ CASE WHEN doc_id % 3 = 1 THEN '- 复核信号（不阻断）：dash_added。' END, '- 轮数：' || (doc_id % 3 + 1) || '。') AS report FROM ax"""
 
 QUERIES = {
     f.__name__: f
