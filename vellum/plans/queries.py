@@ -208,10 +208,33 @@ def url_spans(spark, sf):
 SQL["url_spans"] = "SELECT page_id, CAST(len(u) AS INTEGER) AS n_urls, array_to_string(u, ' ') AS urls FROM (SELECT page_id, regexp_extract_all(html, '(?:^|[^\\p{L}\\p{N}_⟦])((?:https?://|www\\.)[^\\s<>()\"''）」』】,，。;；]+)', 1) AS u FROM pages)"
 
 
+#: What _made_spans() puts around a document, by doc_id % 4: before, its token, after, its masked form, spans.
+MADE_SPANS = [
+    ("```py\nx = `1`\n```\n", "⟦BLOCK-1⟧\n", " see https://e.org/a?b=1, ok", " see ⟦URL-1⟧, ok", 2),
+    ("| a | b |\n| 1 | 2 |\n", "⟦TABLE-1⟧\n", "\nuse `x` and ``y z``", "\nuse ⟦CODE-1⟧ and ⟦CODE-2⟧", 3),
+    ("---\na: 1\n---\n", "⟦FM-1⟧\n", "\n~~~\nnever closed\n| t |", "\n⟦BLOCK-1⟧", 2),
+    ("", "", "\n---\nno: 1\n---\nwww.e.org `https://e.org`", "\n---\nno: 1\n---\n⟦URL-1⟧ ⟦CODE-1⟧", 2),
+]
+
+
+def _made_spans(docs: DataFrame) -> DataFrame:
+    """Documents with front matter, fences, tables, code and URLs by rule."""
+    around = [F.when(F.col("doc_id") % 4 == i, F.concat(F.lit(a), F.coalesce("text", F.lit("")), F.lit(z))) for i, (a, _, z, _, _) in enumerate(MADE_SPANS)]
+    return docs.select("doc_id", F.coalesce(*around).alias("text"))
+
+
 def protected_spans(spark, sf):
     from vellum.operators.protect import protect
 
-    return protect(_both(spark, sf)).select("doc_id", "masked", F.size("spans").alias("n_spans"))
+    fx = _fx(spark).select((-F.col("doc_id")).alias("doc_id"), "text")
+    return protect(_made_spans(_docs(spark, sf)).unionByName(fx)).select("doc_id", "masked", F.size("spans").alias("n_spans"))
+
+
+# The documents and the fixture hold no spans of their own.
+SQL["protected_spans"] = " UNION ALL ".join([
+    *[f"SELECT doc_id, {_q(a)} || coalesce(text, '') || {_q(z)} AS masked, CAST({n} AS INTEGER) AS n_spans FROM documents WHERE doc_id % 4 = {i}" for i, (_, a, _, z, n) in enumerate(MADE_SPANS)],
+    f"SELECT -doc_id, coalesce(text, ''), CAST(0 AS INTEGER) FROM {_values(FX_DOCS, 'doc_id, text, request, file_path')}",
+])
 
 
 def triage_axes(spark, sf):
