@@ -59,8 +59,15 @@ def _fx(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FX_DOCS, "doc_id long, text string, request string, file_path string")
 
 
-def _outputs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FX_OUTPUTS, "doc_id long, round int, raw string")
+def _outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixture's outputs, numbered below zero, and by rule one for every document: a
+    fixture's output by doc_id % 3, with ids, sentences and notes of the document's own."""
+    fx = spark.createDataFrame(FX_OUTPUTS, "doc_id long, round int, raw string").withColumn("doc_id", -F.col("doc_id"))
+    k, word = F.col("doc_id") % 3, F.coalesce(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit(""))
+    raw = F.replace(F.coalesce(*[F.when(k == i, F.lit(r)) for i, (_, _, r) in enumerate(FX_OUTPUTS)]), F.lit("S1 "), F.concat(F.lit("S"), F.col("doc_id") % 50 + 1, F.lit(" ")))
+    for mark, own in (("[1]", F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]"))), (" done ", F.concat(F.lit(" "), word, F.lit(" "))), (" why ", F.concat(F.lit(" "), word, F.lit(" ")))):
+        raw = F.replace(raw, F.lit(mark), own)
+    return _docs(spark, sf).select("doc_id", F.lit(1).alias("round"), raw.alias("raw")).unionByName(fx)
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,8 +264,13 @@ SELECT doc_id, lang, CASE WHEN p <> '' THEN 'file' WHEN {_has('r', triage.REVIEW
 _SEC = lambda n: f"trim(regexp_extract(raw, '(?s)<<<{n}>>>(.*?)<<<END>>>', 1), ' ' || chr(9) || chr(10) || chr(13))"
 
 
+_WORD1 = "coalesce(regexp_extract(text, '[A-Za-z]+'), '')"
+OUTPUTS = f"""(SELECT -doc_id AS doc_id, raw FROM {_values(FX_OUTPUTS, 'doc_id, round, raw')} UNION ALL
+ SELECT doc_id, replace(replace(replace(replace(CASE doc_id % 3 {' '.join(f'WHEN {i} THEN {_q(r)}' for i, (_, _, r) in enumerate(FX_OUTPUTS))} END, 'S1 ', 'S' || (doc_id % 50 + 1) || ' '), '[1]', '[' || doc_id || ']'), ' done ', ' ' || {_WORD1} || ' '), ' why ', ' ' || {_WORD1} || ' ') FROM documents)"""
+
+
 def _table_sql(name: str) -> str:
-    return f"""tl AS (SELECT doc_id, i AS ln, list_transform(string_split(trim(trim(ls[i], ' '), '|'), '|'), lambda c: trim(c, ' ')) AS r FROM (SELECT doc_id, string_split({_SEC(name)}, chr(10)) AS ls, unnest(range(1, len(string_split({_SEC(name)}, chr(10))) + 1)) AS i FROM {_values(FX_OUTPUTS, 'doc_id, round, raw')}) WHERE trim(ls[i], ' ') LIKE '|%'),
+    return f"""tl AS (SELECT doc_id, i AS ln, list_transform(string_split(trim(trim(ls[i], ' '), '|'), '|'), lambda c: trim(c, ' ')) AS r FROM (SELECT doc_id, string_split({_SEC(name)}, chr(10)) AS ls, unnest(range(1, len(string_split({_SEC(name)}, chr(10))) + 1)) AS i FROM {OUTPUTS}) WHERE trim(ls[i], ' ') LIKE '|%'),
 tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS k FROM tl WHERE len(list_filter(r, lambda c: c <> '' AND NOT regexp_matches(c, '^:?-{{2,}}:?$'))) > 0),
 rows_ AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS ord, r FROM tk WHERE k > 1)"""
 
@@ -268,38 +280,38 @@ VERDICTS = f"{_table_sql('VERDICT')}, vd AS (SELECT doc_id, ord, {_C(0)} AS id,
 
 
 def verdict_parse(spark, sf):
-    return protocol.verdicts(_outputs(spark), ["doc_id"])
+    return protocol.verdicts(_outputs(spark, sf), ["doc_id"])
 
 
 SQL["verdict_parse"] = f"WITH {VERDICTS} SELECT * FROM vd"
 
 
 def ledger_parse(spark, sf):
-    return protocol.ledger(_outputs(spark), ["doc_id"])
+    return protocol.ledger(_outputs(spark, sf), ["doc_id"])
 
 
 SQL["ledger_parse"] = f"WITH {_table_sql('LEDGER')} SELECT doc_id, ord, {_C(0)} AS id, {_C(1)} AS action, {_C(2)} AS note FROM rows_ WHERE {_C(0)} <> ''"
 
 
 def pending_parse(spark, sf):
-    return protocol.pending(_outputs(spark), ["doc_id"])
+    return protocol.pending(_outputs(spark, sf), ["doc_id"])
 
 
 SQL["pending_parse"] = f"WITH {_table_sql('PENDING')} SELECT doc_id, ord, CAST(regexp_extract({_C(0)}, '[0-9]+') AS INTEGER) AS sentence, {_C(1)} AS original, {_C(2)} AS reason FROM rows_ WHERE regexp_matches({_C(0)}, '[0-9]')"
 
 
 def judge_parse(spark, sf):
-    return protocol.judge(_outputs(spark), ["doc_id"])
+    return protocol.judge(_outputs(spark, sf), ["doc_id"])
 
 
 SQL["judge_parse"] = f"WITH {_table_sql('JUDGE')} SELECT doc_id, ord, {_C(0)} AS block, {_C(1)} AS result, {_C(2)} AS item, {_C(3)} AS note FROM rows_"
 
 
 def patch_parse(spark, sf):
-    return protocol.patches(_outputs(spark), ["doc_id"]).withColumn("replacement", F.array_join("replacement", " || "))
+    return protocol.patches(_outputs(spark, sf), ["doc_id"]).withColumn("replacement", F.array_join("replacement", " || "))
 
 
-SQL["patch_parse"] = f"""WITH pl AS (SELECT doc_id, ln, raw, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS k FROM (SELECT doc_id, i AS ln, trim(ls[i], ' ') AS raw FROM (SELECT doc_id, string_split({_SEC('PATCH')}, chr(10)) AS ls, unnest(range(1, len(string_split({_SEC('PATCH')}, chr(10))) + 1)) AS i FROM {_values(FX_OUTPUTS, 'doc_id, round, raw')})) WHERE raw <> ''),
+SQL["patch_parse"] = f"""WITH pl AS (SELECT doc_id, ln, raw, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS k FROM (SELECT doc_id, i AS ln, trim(ls[i], ' ') AS raw FROM (SELECT doc_id, string_split({_SEC('PATCH')}, chr(10)) AS ls, unnest(range(1, len(string_split({_SEC('PATCH')}, chr(10))) + 1)) AS i FROM {OUTPUTS})) WHERE raw <> ''),
 pm AS (SELECT *, regexp_extract(raw, '^\\[([0-9]+)(?:\\s*-\\s*([0-9]+))?\\]\\s*->\\s*(.*)$', ['a', 'b', 'c']) AS m, regexp_matches(raw, '^\\[([0-9]+)(?:\\s*-\\s*([0-9]+))?\\]\\s*->\\s*(.*)$') AS ok FROM pl),
 pp AS (SELECT *, TRY_CAST(m.a AS INTEGER) AS s, coalesce(TRY_CAST(m.b AS INTEGER), TRY_CAST(m.a AS INTEGER)) AS e, trim(m.c, ' ') AS body FROM pm)
 SELECT doc_id, CAST(k AS INTEGER) AS ord, raw, CASE WHEN ok THEN s END AS start, CASE WHEN ok THEN e END AS "end", CASE WHEN body IN ('(删除)', '(delete)', '（删除）') THEN '' ELSE array_to_string(list_filter(list_transform(string_split(body, '||'), lambda x: trim(x, ' ')), lambda x: x <> ''), ' || ') END AS replacement,
@@ -398,7 +410,7 @@ SQL["verify_status"] = f"WITH {_PAIRS}, sg AS ({SQL['verify_signals'].split(' ',
 
 
 def ledger_gap(spark, sf):
-    o = _outputs(spark)
+    o = _outputs(spark, sf)
     return verify.ledger_gaps(protocol.verdicts(o, ["doc_id"]), protocol.ledger(o, ["doc_id"]))
 
 
@@ -406,7 +418,7 @@ SQL["ledger_gap"] = f"WITH {VERDICTS}, lg AS ({SQL['ledger_parse']}) SELECT DIST
 
 
 def review_report(spark, sf):
-    return report.review_notes(protocol.verdicts(_outputs(spark), ["doc_id"]))
+    return report.review_notes(protocol.verdicts(_outputs(spark, sf), ["doc_id"]))
 
 
 SQL["review_report"] = f"""WITH {VERDICTS}, pt AS (SELECT *, CASE WHEN verdict IN ('确认', '新增') THEN 'confirmed' WHEN verdict = '待确认' THEN 'pending' END AS part FROM vd),
