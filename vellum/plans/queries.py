@@ -319,11 +319,24 @@ SELECT doc_id, CAST(k AS INTEGER) AS ord, raw, CASE WHEN ok THEN s END AS start,
 
 
 def patch_scope(spark, sf):
-    p = spark.createDataFrame(FX_PATCHES, "doc_id long, ord int, start int, end int, replacement array<string>, scope string, strength string")
-    return patching.scope_violations(p, spark.createDataFrame(FX_PENDING, "doc_id long, sentence int"))
-
-
-SQL["patch_scope"] = f"""WITH p AS (SELECT *, len(replacement) = 0 AS gone, e > s AS merged, len(replacement) > 1 AS splits FROM {_values(FX_PATCHES, 'doc_id, ord, s, e, replacement, scope, strength')}), q AS (SELECT * FROM {_values(FX_PENDING, 'doc_id, sentence')})
+    """Scope checks of the fixture's patches, numbered below zero, and for every document of the
+    same patches under a scope, a strength and pending deletions by rule."""
+    fields = "ord int, start int, end int, replacement array<string>"
+    fx = spark.createDataFrame(FX_PATCHES, f"doc_id long, {fields}, scope string, strength string").withColumn("doc_id", -F.col("doc_id"))
+    waiting = spark.createDataFrame(FX_PENDING, "doc_id long, sentence int").withColumn("doc_id", -F.col("doc_id"))
+    d = _docs(spark, sf)
+    patches = F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(p[2]).alias("start"), F.lit(p[3]).alias("end"), F.array(*map(F.lit, p[4])).cast("array<string>").alias("replacement")) for i, p in enumerate(FX_PATCHES)])
+    by_rule = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col("doc_id") / n) % len(names) + 1).cast("int"))
+    made = d.select("doc_id", F.explode(patches).alias("x"), by_rule(SCOPES, 1).alias("scope"), by_rule(STRENGTHS, len(SCOPES)).alias("strength")).select("doc_id", "x.*", "scope", "strength")
+    return patching.scope_violations(made.unionByName(fx), waiting.unionByName(d.filter("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("sentence"))))
+
+
+SCOPES, STRENGTHS = ["in-place", "bounded", "structural"], ["rewrite", "polish", "proofread"]
+_PICK = lambda names, n: f"CAST({_q(names)} AS VARCHAR[])[doc_id // {n} % {len(names)} + 1]"
+_SCOPED = f"""(SELECT -doc_id AS doc_id, ord, s, e, replacement, scope, strength FROM {_values(FX_PATCHES, 'doc_id, ord, s, e, replacement, scope, strength')}
+ UNION ALL SELECT documents.doc_id, x.ord, x.s, x.e, x.replacement, {_PICK(SCOPES, 1)}, {_PICK(STRENGTHS, 3)} FROM (SELECT doc_id FROM documents) AS documents, {_values([(i + 1, *p[2:5]) for i, p in enumerate(FX_PATCHES)], 'ord, s, e, replacement').replace(' AS v(', ' AS x(')})"""
+_WAITING = f"(SELECT -doc_id AS doc_id, sentence FROM {_values(FX_PENDING, 'doc_id, sentence')} UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 2 = 0)"
+SQL["patch_scope"] = f"""WITH p AS (SELECT *, len(replacement) = 0 AS gone, e > s AS merged, len(replacement) > 1 AS splits FROM {_SCOPED}), q AS (SELECT * FROM {_WAITING})
 SELECT doc_id, ord, 'in-place: deletion' AS reason FROM p WHERE scope = 'in-place' AND gone UNION ALL SELECT doc_id, ord, 'in-place: merge' FROM p WHERE scope = 'in-place' AND merged UNION ALL SELECT doc_id, ord, 'in-place: split' FROM p WHERE scope = 'in-place' AND splits
 UNION ALL SELECT doc_id, ord, 'bounded: merge' FROM p WHERE scope = 'bounded' AND merged UNION ALL SELECT doc_id, ord, 'bounded: deletion not pending' FROM p WHERE scope = 'bounded' AND gone AND NOT EXISTS (SELECT 1 FROM q WHERE q.doc_id = p.doc_id AND q.sentence = p.s)
 UNION ALL SELECT doc_id, ord, 'proofread: structure' FROM p WHERE strength = 'proofread' AND (gone OR merged OR splits)"""
