@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import common, decontamination, quality_rules
+from vellum.llm import common, decontamination, quality_rules, vector_codes
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(common.read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op8_html_extraction, op9_toxicity, op10_quality_rules)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(common.read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op8_html_extraction, op9_toxicity, op10_quality_rules, op13_vector_codes)}
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
