@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import common, decontamination, quality_rules, vector_codes
+from vellum.llm import chat_format, common, decontamination, quality_rules, source_divergence, vector_codes
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +72,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(common.read_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(common.read_table(spark, sf_dir, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = common.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(chat_format.PROBE_ID, i, r, chat_format.PROBE) for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    path = common.scratch_path(spark, "chat")
+    chat_format.write_formatted(talks.unionByName(probe), path)
+    return chat_format.digests(chat_format.read_formatted(spark, path))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(common.read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op8_html_extraction, op9_toxicity, op10_quality_rules, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash_near_dedup, op3_token_output, op4_suffix_dedup, op5_token_counts, op6_packing, op7_sharding, op8_html_extraction, op9_toxicity, op10_quality_rules, op11_source_divergence, op12_chat_format, op13_vector_codes)}
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
+    "op11_source_divergence": source_divergence.oracle_sql(),
+    "op12_chat_format": chat_format.oracle_sql(),
     "op13_vector_codes": vector_codes.oracle_sql(),
 }
