@@ -8,7 +8,8 @@ if enough documents hold it.  However frequent, a term sends one row for each so
 
 Kept terms come as one row with the counts of all their sources.  A scan over them turns
 counts into shares in blocks of terms by sources and emits, run by run, partial sums of
-the differences of each pair of sources and the terms that each source has more of.
+the differences of each pair of sources and the foremost terms that each source has more of;
+a last sorted scan puts those of a source together.
 
 All arithmetic is in integers.  What is broadcast is the table of (lang, source) groups, at most
 common.BROADCAST_ROWS of them at once (more are taken language by language; a language's own
@@ -41,7 +42,7 @@ CELLS, TILE = 1 << 21, 1024
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 _RUN_ROW = "lang string, term string, source string, docs long, n long"
 _TERM_ROW = "lang string, term string, sources array<string>, counts array<long>"
-_PART_ROW = "part string, lang string, source string, item string, value long"
+_PART_ROW = "part string, lang string, source string, tile int, items array<string>, sums array<long>"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -205,16 +206,19 @@ def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
     return p + 1
 
 
-def _audited(shared, a: int, b: int, tile: int):
-    """Batches of kept terms -> partial sums of the pairs of sources in tiles a and b, and, where
-    both are one, the terms of the tile's sources."""
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    """(part, lang, source, tile, items, sums) as a batch of _PART_ROW."""
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["part", "lang", "source", "tile", "items", "sums"])
+
 
-    def rows(part: str, lang: str, source: list, item, value: np.ndarray):
-        n = len(value)
-        text = lambda x: pa.array([x] * n, pa.string())
-        return pa.RecordBatch.from_arrays([text(part), text(lang), pa.array(source, pa.string()), pa.array(item, pa.string()), pa.array(value)], ["part", "lang", "source", "item", "value"])
+def _audited(shared, a: int, b: int, tile: int):
+    """Batches of kept terms -> for each source of tile a the partial sums with those of tile b in
+    their order, and, where both are one, its foremost terms of a block."""
 
     def block(lang, terms, counts, sums):
+        order = sorted(range(len(terms)), key=lambda i: terms[i].encode())  # a block may hold the ends of two files
+        terms, counts = [terms[i] for i in order], counts[order]
         names, n, v = shared.value[lang]
         p = shares(counts, n + ADDED * v)
         x, y = p[:, a * tile : (a + 1) * tile], p[:, b * tile : (b + 1) * tile]
@@ -222,6 +226,7 @@ def _audited(shared, a: int, b: int, tile: int):
             sums[s] += np.abs(y - x[:, s : s + 1]).sum(axis=0)
         if a == b:
             q = shares(counts.sum(axis=1), int(n.sum()) + ADDED * v)
+            found = []
             more = (counts[:, a * tile : (a + 1) * tile] > 0) & (x > q[:, None])
             for s in np.flatnonzero(more.any(axis=0)):
                 at = np.flatnonzero(more[:, s])
@@ -229,14 +234,14 @@ def _audited(shared, a: int, b: int, tile: int):
                 if len(at) > MOST_TERMS:  # of a block no more can be among the first; terms are in order
                     best = np.argsort(-f, kind="stable")[:MOST_TERMS]
                     at, f = at[best], f[best]
-                yield rows("term", lang, [names[a * tile + s]] * len(at), [terms[i] for i in at], f)
+                found.append(("term", lang, names[a * tile + s], a, [terms[i] for i in at], f))
+            if found:
+                yield _rows(found)
 
     def pairs(lang, sums):
         names = shared.value[lang][0]
-        for s, own in enumerate(sums):
-            first = s + 1 if a == b else 0
-            if len(own) > first:
-                yield rows("pair", lang, [names[a * tile + s]] * (len(own) - first), names[b * tile + first : b * tile + len(own)], own[first:])
+        if sums.size:
+            yield _rows([("pair", lang, names[a * tile + s], b, None, own) for s, own in enumerate(sums)])
 
     def run(batches):
         lang = terms = counts = sums = None
@@ -266,6 +271,41 @@ def _audited(shared, a: int, b: int, tile: int):
     return run
 
 
+def _gathered(shared, tile: int):
+    """Batches sorted by (part, lang, source, tile) -> one row for each: the sums with the
+    sources that follow in name, or the MOST_TERMS foremost terms."""
+
+    def closed(key, items, sums):
+        part, lang, source, b = key
+        if part == "pair":
+            names = shared.value[lang][0]
+            items = names[b * tile : (b + 1) * tile]
+            own = [i for i, s in enumerate(items) if s.encode() > source.encode()]
+            return part, lang, source, b, [items[i] for i in own], [int(sums[i]) for i in own]
+        return part, lang, source, b, items, sums
+
+    def run(batches):
+        key = items = sums = None
+        for batch in batches:
+            done = []
+            for part, lang, source, b, terms, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, lang, source, b) != key:
+                    if key is not None:
+                        done.append(closed(key, items, sums))
+                    key, items, sums = (part, lang, source, b), terms, np.array(values) if part == "pair" else values
+                elif part == "pair":
+                    sums = sums + np.array(values)
+                else:
+                    best = sorted(zip(items + terms, sums + values, strict=True), key=lambda x: (-x[1], x[0].encode()))[:MOST_TERMS]
+                    items, sums = [t for t, _ in best], [v for _, v in best]
+            if done:
+                yield _rows(done)
+        if key is not None:
+            yield _rows([closed(key, items, sums)])
+
+    return run
+
+
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCUMENTS, tile: int = TILE, run: int = RUN) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank.
 
@@ -293,7 +333,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
             facts[key] = ([s for s, _, _ in of], np.array([c for _, c, _ in of], np.int64), of[0][2])
         shared = spark.sparkContext.broadcast(facts)
         tiles = -(-max((len(f[0]) for f in facts.values()), default=0) // tile)
-        parts += [terms.mapInArrow(_audited(shared, a, b, tile), _PART_ROW) for b in range(tiles) for a in range(b + 1)]
+        keys = ("part", "lang", "source", "tile")
+        for a, b in ((a, b) for b in range(tiles) for a in range(b + 1)):
+            dealt = terms.mapInArrow(_audited(shared, a, b, tile), _PART_ROW).repartition(common.partitions(base), *keys).sortWithinPartitions(*keys)
+            parts.append(dealt.mapInArrow(_gathered(shared, tile), _PART_ROW).select("part", "lang", "source", F.explode(F.arrays_zip("items", "sums")).alias("x")).select("part", "lang", "source", F.col("x.items").alias("item"), F.col("x.sums").alias("value")))
     g = groups.filter("v = 0")
     none = g.select("lang", "source").join(g.select("lang", F.col("source").alias("item")), "lang").filter("source < item")
     rows = none.select(F.lit("pair").alias("part"), "lang", "source", "item", F.lit(0).cast("long").alias("value"))
@@ -302,7 +345,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     rows = common.stage(rows, "divergence")
     columns = ("lang", "source", "part", "item", "value")
     both = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
-    pair = rows.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", both.alias("x"), "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
+    pair = rows.filter("part = 'pair'").select("lang", both.alias("x"), "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     term = rows.filter("part = 'term'").select(*columns).withColumn("rank", rank).filter(F.col("rank") <= MOST_TERMS)
     return pair.withColumn("rank", rank).unionByName(term)
