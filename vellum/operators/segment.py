@@ -1,66 +1,95 @@
-"""Numbered sentences: lines, sentence ends, paragraphs and separators, by windows."""
+"""Numbered sentences: lines, sentence ends, paragraphs and separators, in one pass over a text.
+
+Regular expressions put marks where a sentence's text, its separator and a paragraph end; the
+text is split at them into one array for each document, so neither a window nor an
+exchange is needed.  Under a star stand character classes only: alternations and groups
+there overflow the regex engine's stack on long lines.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: A period that ends a sentence is marked first, so that the rest are character classes
-#: only: alternations under a star overflow the regex engine's stack on long lines.
-MARK = "\x01"
-_PERIOD = r"(?U)\.(?=\s|\z)"
-_ENDS = "。！？!?" + MARK
-_SWALLOW = r"”」』）\"')\]。！？!?"
-_PART = rf"[^{_ENDS}]*[{_ENDS}][{_SWALLOW}]*[ \t]*|[^{_ENDS}]+\z"
-_PLACEHOLDER_LINE = r"\A⟦[A-Z]+-[0-9]+⟧\z"
+#: Unicode noncharacters: the end of a sentence's text, of its separator, of a paragraph,
+#: and the begin of a line that is one placeholder.
+_TEXT, _SEP, _PARAGRAPH, _ALONE = "﷐", "﷑", "﷒", "﷓"
+_MARKS = _TEXT + _SEP + _PARAGRAPH + _ALONE
+# What ends a sentence, and what its end takes in.
+_ENDS, _SWALLOW = "。！？!?", r"”」』）\"')\]。！？!?"
+_LINE = r"(?<![^\n])"
+_FIRST = r"(?U)\A(?:\s*\n)?[ \t]*"
+_PLACEHOLDER = rf"{_LINE}([ \t]*+)(?=⟦[A-Z]+-[0-9]+⟧[ \t]*+(?:\n|\z))"
+_HEADING = rf"{_LINE}([ \t]*#(?:[^\n]*[^ \t\n])?)([ \t]*)"
+_SENTENCE = rf"((?:[{_ENDS}]|\.(?=\s|\z))[{_SWALLOW}]*)([ \t]*)"
+#: White space around line ends: to the end of the text, over blank lines, or one line end.
+_GAP = rf"(?U)(?:{_TEXT}([ \t]*){_SEP}|(?<![ \t{_TEXT}{_SEP}])([ \t]*+))(\n\s*\z|\n\s*\n[ \t]*+|\n[ \t]*+|\z)"
+_BREAK = rf"(?U)({_TEXT}[ \t]*\n\s*\n[ \t]*){_SEP}"
+#: The array of with_sentences().
+SENTENCES = "array<struct<text:string,sep:string,paragraph:int,protected:boolean>>"
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, id, text, sep, paragraph, protected: the numbered sentences of every document.
+def with_sentences(docs: DataFrame, text: str = "text", name: str = "sentences") -> DataFrame:
+    """docs with an array of its sentences, by id from 1: text, sep, paragraph, protected.
 
-    Ids count from 1 through all paragraphs.  Blank lines end a paragraph; a line that is a
-    placeholder or begins with # is one sentence.  Leading white space of a line belongs to
-    the separator of the sentence before it; that of the first line is dropped.  A document
-    of white space only is one empty sentence; null and empty documents have none.  CRLF is
-    read as LF.  Keys must be unique.
+    Blank lines end a paragraph; a line that is a placeholder or begins with # is one
+    sentence.  Leading white space of a line belongs to the separator of the sentence before
+    it; that of the first line is dropped.  A document of white space only is one empty
+    sentence; null and empty documents have none.  CRLF is read as LF.  The noncharacters
+    U+FDD0 to U+FDD3 are dropped.
     """
-    base = docs.select(F.col(f"`{key}`").alias("k"), F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\r\n"), F.lit("\n")).alias("t"))
+    t = F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    d = docs.withColumn("__t", t).withColumn("__t", F.when(F.col("__t").rlike(f"[{_MARKS}]"), F.translate("__t", _MARKS, "")).otherwise(F.col("__t")))
+    d = d.withColumn("__s", F.regexp_replace("__t", _FIRST, ""))
+    d = d.withColumn("__s", F.when(F.contains("__s", F.lit("⟦")), F.regexp_replace("__s", _PLACEHOLDER, f"$1{_ALONE}")).otherwise(F.col("__s")))
+    s = F.regexp_replace("__s", f"(?U){_HEADING}|{_SENTENCE}", f"$1$3{_TEXT}$2$4{_SEP}")
+    s = F.regexp_replace(F.regexp_replace(s, _GAP, f"{_TEXT}$1$2$3{_SEP}"), _BREAK, f"$1{_PARAGRAPH}")
+
+    def sentence(x: Column, paragraph: Column) -> Column:
+        body = F.substring_index(x, _TEXT, 1)
+        return F.struct(F.replace(body, F.lit(_ALONE), F.lit("")).alias("text"), F.substring_index(x, _TEXT, -1).alias("sep"), (paragraph + 1).alias("paragraph"), body.startswith(_ALONE).alias("protected"))
+
+    found = F.transform(F.split(s, _PARAGRAPH), lambda p, i: F.transform(F.filter(F.split(p, _SEP), lambda x: ~x.startswith(_TEXT) & (x != "")), lambda x: sentence(x, i)))
+    space = F.struct(F.lit("").alias("text"), F.col("__t").alias("sep"), F.lit(1).alias("paragraph"), F.lit(False).alias("protected"))
+    whole = F.when(F.col("__t") == "", F.array().cast(SENTENCES)).when(F.col("__t").rlike(r"(?U)\S"), F.flatten(found)).otherwise(F.array(space))
+    return d.withColumn(name, whole.cast(SENTENCES)).drop("__t", "__s")
+
+
+def exploded(docs: DataFrame, key: str = "doc_id", name: str = "sentences") -> DataFrame:
+    """key, id, text, sep, paragraph, protected from the array of with_sentences()."""
     # an inner explode would make Spark compute its array a second time, in a filter below it
-    lines = base.filter(F.col("t") != "").select("k", F.size(F.split("t", "\n")).alias("m"), F.posexplode_outer(F.split("t", "\n")).alias("ln", "l"))
-    w = Window.partitionBy("k").orderBy("ln")
-    # one window order serves all line columns; the partitioning is reused by the ids below
-    lines = lines.withColumn("blank", ~F.col("l").rlike(r"(?U)\S")).withColumn("nl", F.when(F.col("ln") < F.col("m") - 1, "\n").otherwise(""))
-    lines = lines.withColumn("grp", F.sum((~F.col("blank")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    start = (~F.col("blank")) & F.coalesce(F.lag("blank").over(w), F.lit(True))
-    lines = lines.withColumn("start", start).withColumn("paragraph", F.greatest(F.sum(F.col("start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1)))
-    lines = lines.withColumn("lead", F.regexp_extract("l", r"\A([ \t]*)", 1)).withColumn("body", F.btrim("l", F.lit(" \t"))).withColumn("trail", F.regexp_extract("l", r"([ \t]*)\z", 1))
-    g = Window.partitionBy("k", "grp").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lines = lines.withColumn("blanks", F.array_join(F.collect_list(F.when(F.col("blank"), F.concat("l", "nl"))).over(g), ""))
-    content = lines.filter(~F.col("blank"))
-    content = content.withColumn("tail", F.concat("trail", "nl", "blanks", F.coalesce(F.lead("lead").over(w), F.lit(""))))
-    whole = F.col("body").rlike(_PLACEHOLDER_LINE) | F.col("body").startswith("#")
-    marked = F.regexp_replace("body", _PERIOD, MARK)
-    parts = F.when(whole, F.array("body")).otherwise(F.transform(F.regexp_extract_all(marked, F.lit(_PART), F.lit(0)), lambda p: F.replace(p, F.lit(MARK), F.lit("."))))
-    content = content.withColumn("parts", parts).withColumn("np", F.size("parts"))
-    rows = content.select("k", "ln", "paragraph", "tail", "np", F.posexplode_outer("parts").alias("pi", "part"), "body").filter("pi IS NOT NULL")
-    core = F.rtrim(F.col("part"), F.lit(" \t"))
-    rows = rows.withColumn("text", core).withColumn("sep", F.concat(F.substring("part", F.length(core) + 1, F.length("part")), F.when(F.col("pi") == F.col("np") - 1, F.col("tail")).otherwise("")))
-    ids = F.row_number().over(Window.partitionBy("k").orderBy("ln", "pi"))
-    out = rows.select("k", ids.alias("id"), "text", "sep", "paragraph", F.col("body").rlike(_PLACEHOLDER_LINE).alias("protected"))
-    only_space = base.filter((F.col("t") != "") & ~F.col("t").rlike(r"(?U)\S")).select("k", F.lit(1).alias("id"), F.lit("").alias("text"), F.col("t").alias("sep"), F.lit(1).alias("paragraph"), F.lit(False).alias("protected"))
-    return out.unionByName(only_space).withColumnRenamed("k", key)
+    rows = docs.select(F.col(f"`{key}`").alias(key), F.posexplode_outer(name).alias("id", "__x")).filter("id IS NOT NULL")
+    return rows.select(key, (F.col("id") + 1).alias("id"), "__x.text", "__x.sep", "__x.paragraph", "__x.protected")
+
+
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, id, text, sep, paragraph, protected: the numbered sentences of every document,
+    ids from 1 through all paragraphs; see with_sentences()."""
+    return exploded(with_sentences(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__body")), "__body"), key)
+
+
+def joined_text(array: Column) -> Column:
+    """The sentences of an array with their separators put together again."""
+    return F.array_join(F.transform(array, lambda x: F.concat(x["text"], x["sep"])), "")
+
+
+def numbered_text(array: Column) -> Column:
+    """`[n] text` lines with an empty line between paragraphs."""
+    new = lambda x, i: F.when(x["paragraph"] != F.get(array, i - 1)["paragraph"], "\n").otherwise("")
+    return F.array_join(F.transform(array, lambda x, i: F.concat(new(x, i), F.lit("["), i + 1, F.lit("] "), x["text"])), "\n")
+
+
+def gathered(sents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sentences: the array of with_sentences() from a table of sentences."""
+    rows = F.array_sort(F.collect_list(F.struct("id", "text", "sep", "paragraph", "protected")))
+    return sents.groupBy(key).agg(rows.alias("__s")).select(key, F.transform("__s", lambda x: F.struct(*[x[c].alias(c) for c in ("text", "sep", "paragraph", "protected")])).cast(SENTENCES).alias("sentences"))
 
 
 def joined(sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text: the sentences with their separators put together again."""
-    ordered = F.array_sort(F.collect_list(F.struct("id", "text", "sep")))
-    return sents.groupBy(key).agg(ordered.alias("s")).select(key, F.array_join(F.transform("s", lambda x: F.concat(x["text"], x["sep"])), "").alias("text"))
+    """key, text: a table of sentences put together again."""
+    return gathered(sents, key).select(key, joined_text(F.col("sentences")).alias("text"))
 
 
 def numbered(sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, numbered: `[n] text` lines with an empty line between paragraphs."""
-    w = Window.partitionBy(key).orderBy("id")
-    line = F.concat(F.when(F.col("paragraph") != F.lag("paragraph").over(w), "\n").otherwise(""), F.lit("["), F.col("id"), F.lit("] "), F.col("text"))
-    rows = sents.withColumn("line", line)
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("numbered"))
+    """key, numbered: a table of sentences as numbered_text()."""
+    return gathered(sents, key).select(key, numbered_text(F.col("sentences")).alias("numbered"))

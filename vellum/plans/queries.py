@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import compose, extract, gates, patching, protocol, report, segment, triage, verify
+from vellum.session import spread
 
 #: (rule, phrase) pairs of a small lexicon of frequent words, so that counts aren't zero.
 LEXICON = [("hedge", "the"), ("hedge", "that"), ("hedge", "than"), ("cause", "for"), ("cause", "ion"), ("none", "因此")]
@@ -52,7 +53,7 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def _fx(spark: SparkSession) -> DataFrame:
@@ -110,21 +111,25 @@ SQL["sentence_split"] = f"WITH {SENT} SELECT * FROM sent"
 
 
 def sentence_count(spark, sf):
-    return segment.sentences(_both(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max("paragraph").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
+    d = segment.with_sentences(_both(spark, sf).filter("text <> ''"), name="s")
+    chars = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.try_element_at("s", F.lit(-1))["paragraph"].alias("paragraphs"), chars.alias("chars"))
 
 
 SQL["sentence_count"] = f"WITH {SENT} SELECT doc_id, count(*) AS sentences, max(paragraph) AS paragraphs, CAST(sum(length(text)) AS BIGINT) AS chars FROM sent GROUP BY doc_id"
 
 
 def sentence_join(spark, sf):
-    return segment.joined(segment.sentences(_both(spark, sf)))
+    d = segment.with_sentences(_both(spark, sf).filter("text <> ''"), name="s")
+    return d.select("doc_id", segment.joined_text(F.col("s")).alias("text"))
 
 
 SQL["sentence_join"] = f"WITH {SENT} SELECT doc_id, string_agg(text || sep, '' ORDER BY id) AS text FROM sent GROUP BY doc_id"
 
 
 def numbered_text(spark, sf):
-    return segment.numbered(segment.sentences(_both(spark, sf)))
+    d = segment.with_sentences(_both(spark, sf).filter("text <> ''"), name="s")
+    return d.select("doc_id", segment.numbered_text(F.col("s")).alias("numbered"))
 
 
 SQL["numbered_text"] = f"WITH {SENT} SELECT doc_id, string_agg(line, chr(10) ORDER BY id) AS numbered FROM (SELECT doc_id, id, CASE WHEN paragraph <> lag(paragraph) OVER (PARTITION BY doc_id ORDER BY id) THEN chr(10) ELSE '' END || '[' || id || '] ' || text AS line FROM sent) GROUP BY doc_id"
@@ -207,7 +212,7 @@ SQL["prose_gate"] = f"SELECT id, NOT ({' OR '.join(f'''lower(path) LIKE '%{s}' '
 def url_spans(spark, sf):
     from vellum.operators.protect import URL
 
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf}/pages.parquet"))
     found = F.regexp_extract_all("html", F.lit(URL), F.lit(0))
     return pages.select("page_id", F.size(found).alias("n_urls"), F.array_join(found, " ").alias("urls"))
 
@@ -342,34 +347,52 @@ UNION ALL SELECT doc_id, ord, 'bounded: merge' FROM p WHERE scope = 'bounded' AN
 UNION ALL SELECT doc_id, ord, 'proofread: structure' FROM p WHERE strength = 'proofread' AND (gone OR merged OR splits)"""
 
 
-def _made_patches(docs: DataFrame) -> DataFrame:
-    """Patches by rule on every document: delete the second sentence, rewrite the third,
-    and an overlapping merge that must be refused."""
+def _with_patches(docs: DataFrame) -> DataFrame:
+    """docs with their sentences and patches by rule: delete or rewrite the second sentence,
+    split the third, and an overlapping merge that must be refused."""
     third = F.col("doc_id") % 3 == 0
     rows = F.array(
         F.struct(F.lit(1).alias("ord"), F.lit(2).alias("start"), F.lit(2).alias("end"), F.when(third, F.array().cast("array<string>")).otherwise(F.array(F.lit("Changed!"))).alias("replacement")),
         F.struct(F.lit(2).alias("ord"), F.lit(2).alias("start"), F.lit(3).alias("end"), F.array(F.lit("Merged.")).alias("replacement")),
         F.struct(F.lit(3).alias("ord"), F.lit(3).alias("start"), F.lit(3).alias("end"), F.array(F.lit("One."), F.lit("Two.")).alias("replacement")),
     )
-    return docs.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
+    return segment.with_sentences(docs).withColumn("patches", rows)
 
 
 _MADE = """sn AS (SELECT doc_id, max(id) AS n FROM sent GROUP BY doc_id)"""
 
 
 def patch_validate(spark, sf):
-    d = _both(spark, sf)
-    return patching.validated(segment.sentences(d), _made_patches(d)).select("doc_id", "ord", "reason")
+    d = patching.with_accepted(_with_patches(_both(spark, sf)))
+    return d.select("doc_id", F.explode_outer("checked").alias("o")).filter("o IS NOT NULL").select("doc_id", "o.ord", "o.reason")
 
 
 SQL["patch_validate"] = f"WITH {SENT}, {_MADE}, d AS (SELECT doc_id, coalesce(n, 0) AS n FROM base LEFT JOIN sn USING (doc_id)) SELECT doc_id, 1 AS ord, CASE WHEN n < 2 THEN 'unknown sentence' END AS reason FROM d UNION ALL SELECT doc_id, 2, CASE WHEN n < 3 THEN 'unknown sentence' ELSE 'overlap' END FROM d UNION ALL SELECT doc_id, 3, CASE WHEN n < 3 THEN 'unknown sentence' END FROM d"
 
 
+#: Patch lines that no model should write, and what each is refused for; n is the number of sentences.
+ODD_PATCHES = [
+    ("[1-900000000] -> x", 1, 900000000, "'unknown sentence'"), ("[99999999999999999999] -> x", protocol.LARGEST, protocol.LARGEST, "'unknown sentence'"), ("[2-1] -> y", 2, 1, "'range end before start'"),
+    ("[99999999999999999999-99999999999999999998] -> y", protocol.LARGEST, protocol.LARGEST, "'range end before start'"), ("[3-99999999999999999999] -> (delete)", 3, protocol.LARGEST, "'unknown sentence'"), ("[0] -> z", 0, 0, "'unknown sentence'"),
+    ("[0001] -> First.", 1, 1, "CASE WHEN n < 1 THEN 'unknown sentence' ELSE 'accepted' END"), ("[1-1] -> again", 1, 1, "CASE WHEN n < 1 THEN 'unknown sentence' ELSE 'overlap' END"), ("[2] -> || ||", 2, 2, "'empty replacement'"),
+]
+
+
+def patch_refusals(spark, sf):
+    """The odd patches for every document, parsed and validated, with the outcome of each."""
+    d = segment.with_sentences(_both(spark, sf)).withColumn("raw", F.lit("<<<PATCH>>>\n" + "\n".join(p for p, *_ in ODD_PATCHES) + "\n<<<END>>>"))
+    parsed = protocol.patches(d, ["doc_id"])
+    checked = patching.with_accepted(d.join(patching.listed(parsed.filter("failure IS NULL")), "doc_id"))
+    reasons = checked.select("doc_id", F.explode_outer("checked").alias("o")).filter("o IS NOT NULL").select("doc_id", "o.ord", "o.reason")
+    return parsed.join(reasons, ["doc_id", "ord"], "left").select("doc_id", "ord", "start", "end", F.coalesce("failure", "reason", F.lit("accepted")).alias("outcome"))
+
+
+SQL["patch_refusals"] = f"WITH {SENT}, {_MADE}, d AS (SELECT doc_id, coalesce(n, 0) AS n FROM (SELECT doc_id FROM {BOTH}) LEFT JOIN sn USING (doc_id)) " + " UNION ALL ".join(f'SELECT doc_id, CAST({i} AS INTEGER) AS ord, CAST({a} AS INTEGER) AS start, CAST({b} AS INTEGER) AS "end", {why} AS outcome FROM d' for i, (_, a, b, why) in enumerate(ODD_PATCHES, 1))
+
+
 def patch_apply(spark, sf):
-    d = _docs(spark, sf).select("doc_id", "text")
-    s = segment.sentences(d)
-    good = patching.validated(s, _made_patches(d)).filter("reason IS NULL")
-    return segment.joined(patching.applied(s, good))
+    d = _with_patches(_docs(spark, sf).select("doc_id", "text").filter("text <> ''"))
+    return patching.with_changed(patching.with_accepted(d)).select("doc_id", segment.joined_text(F.col("changed")).alias("text"))
 
 
 _ONLY = SENT.replace(BOTH, "documents")
@@ -538,10 +561,9 @@ SQL["diagnose_prompt"] = f"WITH {_ONLY}, nb AS (SELECT doc_id, string_agg(line,
 
 def judge_prompt(spark, sf):
     """Prompts about the changes that patches by rule make in every document."""
-    d = _docs(spark, sf).select("doc_id", "text")
-    s = segment.sentences(d)
-    good = patching.validated(s, _made_patches(d)).filter("reason IS NULL")
-    return compose.judge_prompt(d, patching.change_blocks(s, good), "T")
+    d = patching.with_accepted(_with_patches(_docs(spark, sf).select("doc_id", "text")))
+    changes = d.select("doc_id", F.explode_outer(patching.blocks(F.col("sentences"), F.col("accepted"))).alias("b")).filter("b IS NOT NULL").select("doc_id", "b.*")
+    return compose.judge_prompt(d, changes, "T")
 
 
 _BLOCK = "'### 块 [' || id || ']' || chr(10) || '前一句：' || CASE WHEN coalesce(prev, '') = '' THEN '（无）' ELSE prev END || chr(10) || '原文：' || was || chr(10) || '改文：' || CASE WHEN id = 2 AND doc_id % 3 = 0 THEN '（整句删除）' WHEN id = 2 THEN 'Changed!' WHEN zh THEN 'One.Two.' ELSE 'One. Two.' END || chr(10) || '后一句：' || CASE WHEN coalesce(next, '') = '' THEN '（无）' ELSE next END"
@@ -597,7 +619,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_profile, sentence_split, sentence_count, sentence_join, numbered_text, phrase_hits_by_rule, semantic_items, literal_numbers, literal_dates_versions, literal_names, credential_gate, prose_gate, url_spans, protected_spans, triage_axes,
-        verdict_parse, ledger_parse, pending_parse, judge_parse, patch_parse, patch_scope, patch_validate, patch_apply, verify_signals, rescan_delta, verify_status, ledger_gap, review_report, corpus_rollup, eval_scores, runs,
+        verdict_parse, ledger_parse, pending_parse, judge_parse, patch_parse, patch_scope, patch_validate, patch_refusals, patch_apply, verify_signals, rescan_delta, verify_status, ledger_gap, review_report, corpus_rollup, eval_scores, runs,
         literals_missing, detector_scan, diagnose_prompt, judge_prompt, rewrite_prompt, rewrite_report,
     )
 }
