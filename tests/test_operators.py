@@ -49,16 +49,6 @@ def test_empty_and_blank_documents(spark):
     assert _sentences(spark, " \n ") == [(1, "", " \n ", 1)]
 
 
-def test_mask_and_restore():
-    text = "---\na: 1\n---\nSee `x` at https://e.org/a.\n```\ncode\n```\n| a | b |\n| 1 | 2 |\nend"
-    masked, spans = protect.mask(text)
-    assert [s["id"] for s in spans] == ["FM-1", "BLOCK-1", "TABLE-1", "CODE-1", "URL-1"]
-    for s in spans:
-        assert masked.count(f"⟦{s['id']}⟧") == 1
-    assert protect.mask(None) == ("", [])
-    assert protect.mask("```\nopen")[1][0]["text"] == "```\nopen"
-
-
 def test_audit_and_restore(spark):
     m = spark.createDataFrame([(1, "a ⟦URL-1⟧ b ⟦URL-1⟧ ⟦X-9⟧")], "doc_id long, text string")
     s = spark.createDataFrame([(1, "URL-1", "u"), (1, "CODE-1", "c")], "doc_id long, id string, text string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 EXCLAMATION = r"[\x{FF01}!]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, although lambdas within body read it for each of
+    their elements; Spark may compute a column that a lambda reads anew each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -39,10 +39,10 @@ def with_sentences(docs: DataFrame, text: str = "text", name: str = "sentences")
     U+FDD0 to U+FDD3 are dropped.
     """
     t = F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    d = docs.withColumn("__t", t).withColumn("__t", F.when(F.col("__t").rlike(f"[{_MARKS}]"), F.translate("__t", _MARKS, "")).otherwise(F.col("__t")))
-    d = d.withColumn("__s", F.regexp_replace("__t", _FIRST, ""))
-    d = d.withColumn("__s", F.when(F.contains("__s", F.lit("⟦")), F.regexp_replace("__s", _PLACEHOLDER, f"$1{_ALONE}")).otherwise(F.col("__s")))
-    s = F.regexp_replace("__s", f"(?U){_HEADING}|{_SENTENCE}", f"$1$3{_TEXT}$2$4{_SEP}")
+    d = docs.withColumn("__whole", t).withColumn("__whole", F.when(F.col("__whole").rlike(f"[{_MARKS}]"), F.translate("__whole", _MARKS, "")).otherwise(F.col("__whole")))
+    d = d.withColumn("__marked", F.regexp_replace("__whole", _FIRST, ""))
+    d = d.withColumn("__marked", F.when(F.contains("__marked", F.lit("⟦")), F.regexp_replace("__marked", _PLACEHOLDER, f"$1{_ALONE}")).otherwise(F.col("__marked")))
+    s = F.regexp_replace("__marked", f"(?U){_HEADING}|{_SENTENCE}", f"$1$3{_TEXT}$2$4{_SEP}")
     s = F.regexp_replace(F.regexp_replace(s, _GAP, f"{_TEXT}$1$2$3{_SEP}"), _BREAK, f"$1{_PARAGRAPH}")
 
     def sentence(x: Column, paragraph: Column) -> Column:
@@ -50,9 +50,9 @@ def with_sentences(docs: DataFrame, text: str = "text", name: str = "sentences")
         return F.struct(F.replace(body, F.lit(_ALONE), F.lit("")).alias("text"), F.substring_index(x, _TEXT, -1).alias("sep"), (paragraph + 1).alias("paragraph"), body.startswith(_ALONE).alias("protected"))
 
     found = F.transform(F.split(s, _PARAGRAPH), lambda p, i: F.transform(F.filter(F.split(p, _SEP), lambda x: ~x.startswith(_TEXT) & (x != "")), lambda x: sentence(x, i)))
-    space = F.struct(F.lit("").alias("text"), F.col("__t").alias("sep"), F.lit(1).alias("paragraph"), F.lit(False).alias("protected"))
-    whole = F.when(F.col("__t") == "", F.array().cast(SENTENCES)).when(F.col("__t").rlike(r"(?U)\S"), F.flatten(found)).otherwise(F.array(space))
-    return d.withColumn(name, whole.cast(SENTENCES)).drop("__t", "__s")
+    space = F.struct(F.lit("").alias("text"), F.col("__whole").alias("sep"), F.lit(1).alias("paragraph"), F.lit(False).alias("protected"))
+    whole = F.when(F.col("__whole") == "", F.array().cast(SENTENCES)).when(F.col("__whole").rlike(r"(?U)\S"), F.flatten(found)).otherwise(F.array(space))
+    return d.withColumn(name, whole.cast(SENTENCES)).drop("__whole", "__marked")
 
 
 def exploded(docs: DataFrame, key: str = "doc_id", name: str = "sentences") -> DataFrame:

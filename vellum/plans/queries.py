@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import compose, extract, gates, patching, protocol, report, segment, triage, verify
+from vellum.operators import compose, extract, gates, lexicon, patching, protect, protocol, report, segment, statistics, triage, verify
 from vellum.session import spread
 
 #: (rule, phrase) pairs of a small lexicon of frequent words, so that counts aren't zero.
@@ -210,10 +210,8 @@ SQL["prose_gate"] = f"SELECT id, NOT ({' OR '.join(f'''lower(path) LIKE '%{s}' '
 
 
 def url_spans(spark, sf):
-    from vellum.operators.protect import URL
-
     pages = spread(spark.read.parquet(f"{sf}/pages.parquet"))
-    found = F.regexp_extract_all("html", F.lit(URL), F.lit(0))
+    found = F.regexp_extract_all("html", F.lit(protect.URL), F.lit(0))
     return pages.select("page_id", F.size(found).alias("n_urls"), F.array_join(found, " ").alias("urls"))
 
 
@@ -236,10 +234,8 @@ def _made_spans(docs: DataFrame) -> DataFrame:
 
 
 def protected_spans(spark, sf):
-    from vellum.operators.protect import protect
-
     fx = _fx(spark).select((-F.col("doc_id")).alias("doc_id"), "text")
-    return protect(_made_spans(_docs(spark, sf)).unionByName(fx)).select("doc_id", "masked", F.size("spans").alias("n_spans"))
+    return protect.protect(_made_spans(_docs(spark, sf)).unionByName(fx)).select("doc_id", "masked", F.size("spans").alias("n_spans"))
 
 
 # The documents and the fixture hold no spans of their own.
@@ -249,6 +245,54 @@ SQL["protected_spans"] = " UNION ALL ".join([
 ])
 
 
+def span_sentences(spark, sf):
+    """The first sentence of each span's token; by rule, in every fifth document one is lost."""
+    m = protect.protect(_made_spans(_docs(spark, sf)))
+    lost = F.when(F.col("doc_id") % 5 == 0, F.replace("masked", F.lit("⟦CODE-1⟧"), F.lit(""))).otherwise(F.col("masked"))
+    s = segment.with_sentences(m.withColumn("masked", lost), "masked")
+    return s.select("doc_id", F.explode_outer(protect.attached(F.col("sentences"), F.col("spans"))).alias("x")).filter("x IS NOT NULL").select("doc_id", "x.id", "x.ord", "x.sentence")
+
+
+_MASKED = f"(SELECT doc_id, masked FROM ({SQL['protected_spans']}) WHERE doc_id >= 0)"
+_LOST = "CASE WHEN doc_id % 5 = 0 THEN replace(masked, '⟦CODE-1⟧', '') ELSE masked END"
+# BLOCK, TABLE and FM stand before CODE, and CODE before URL, in the order of spans
+_KINDS = {"FM": 0, "BLOCK": 0, "TABLE": 0, "CODE": 1, "URL": 2}
+SQL["span_sentences"] = f"""WITH {SENT.replace(BOTH, f'(SELECT doc_id, {_LOST} AS text FROM {_MASKED})')},
+tk AS (SELECT doc_id, unnest(regexp_extract_all(masked, '⟦([A-Z]+-[0-9]+)⟧', 1)) AS id, masked FROM {_MASKED}),
+od AS (SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE split_part(id, '-', 1) {' '.join(f"WHEN '{k}' THEN {i}" for k, i in _KINDS.items())} END, instr(masked, '⟦' || id || '⟧')) AS INTEGER) AS ord FROM tk)
+SELECT od.doc_id, od.id, od.ord, min(sent.id) AS sentence FROM od LEFT JOIN sent ON sent.doc_id = od.doc_id AND contains(sent.text, '⟦' || od.id || '⟧') GROUP BY ALL"""
+
+
+def document_statistics(spark, sf):
+    d = statistics.document_statistics(_both(spark, sf))
+    return d.withColumn("histogram", F.array_join(F.transform("histogram", lambda x: F.concat(x["bucket"], F.lit(":"), x["n"])), " "))
+
+
+_E = lambda n: f"greatest(length(bin({n})) - 5, 0)"
+_LENGTHS = f"""tx AS (SELECT doc_id, coalesce(text, '') AS t, {_N(CJK, "coalesce(text, '')")} >= {_N(WORD, "coalesce(text, '')")} AS zh FROM {BOTH}),
+sl AS (SELECT doc_id, zh, CASE WHEN zh THEN {_N(CJK)} ELSE {_N(WORD)} END AS l FROM sent JOIN tx USING (doc_id)),
+bk AS (SELECT doc_id, CAST(16 * {_E('l')} + l // CAST(pow(2, {_E('l')}) AS BIGINT) AS INTEGER) AS b, count(*) AS n FROM sl GROUP BY ALL)"""
+_COUNTED = ", ".join(f"CAST({_N(p.replace(chr(39), chr(39) * 2), 't')} AS INTEGER) AS {n}" for n, p in statistics.PATTERNS.items())
+SQL["document_statistics"] = f"""WITH {SENT}, {_LENGTHS}, pc AS (SELECT doc_id, CASE WHEN zh THEN 'zh' ELSE 'en' END AS lang, CAST(length(t) AS INTEGER) AS chars, {_COUNTED} FROM tx)
+SELECT pc.*, full_width > 0 AND half_width > 0 AS mixed_width, CAST(coalesce(s, 0) AS INTEGER) AS sentences, coalesce(h, '') AS histogram
+FROM pc LEFT JOIN (SELECT doc_id, sum(n) AS s, string_agg(b || ':' || n, ' ' ORDER BY b) AS h FROM bk GROUP BY doc_id) USING (doc_id)"""
+
+
+def corpus_statistics(spark, sf):
+    """Merged statistics of all documents by their own language and their source column."""
+    docs = _docs(spark, sf)
+    made = statistics.document_statistics(docs.select(F.struct("doc_id", "source").alias("k"), "text"), "k")
+    return statistics.corpus_statistics(made.withColumn("source", F.col("k.source")), ["lang", "source"])
+
+
+_START = lambda b: f"CAST(({b} - 16 * greatest({b} // 16 - 1, 0)) * pow(2, greatest({b} // 16 - 1, 0)) AS BIGINT)"
+SQL["corpus_statistics"] = f"""WITH {SENT.replace(BOTH, 'documents')}, {_LENGTHS.replace(BOTH, 'documents')}, pc AS (SELECT doc_id, CASE WHEN zh THEN 'zh' ELSE 'en' END AS lang, source, length(t) AS chars, {_COUNTED} FROM tx JOIN documents USING (doc_id)),
+hb AS (SELECT pc.lang, pc.source, b, sum(n) AS n FROM bk JOIN pc USING (doc_id) GROUP BY ALL), hc AS (SELECT *, sum(n) OVER (PARTITION BY lang, source ORDER BY b) AS c, sum(n) OVER (PARTITION BY lang, source) AS a FROM hb),
+hq AS (SELECT lang, source, {', '.join(f'{_START(f"(min(b) FILTER (c >= {q} * a))")} AS {n}' for n, q in statistics.QUANTILES.items())}, {_START('max(b)')} AS longest, CAST(max(a) AS BIGINT) AS sentences FROM hc GROUP BY ALL)
+SELECT lang, source, count(*) AS documents, CAST(sum(chars) AS BIGINT) AS chars, coalesce(any_value(sentences), 0) AS sentences, {', '.join(f'CAST(sum({n}) AS BIGINT) AS {n}' for n in statistics.PATTERNS)}, count_if(full_width > 0 AND half_width > 0) AS mixed_width, any_value(p50) AS p50, any_value(p90) AS p90, any_value(longest) AS longest
+FROM pc LEFT JOIN hq USING (lang, source) GROUP BY lang, source"""
+
+
 def triage_axes(spark, sf):
     return triage.axes(_fx(spark)).unionByName(triage.axes(_docs(spark, sf).select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit("审稿").alias("request"), F.lit(None).cast("string").alias("file_path"))))
 
@@ -463,8 +507,8 @@ SELECT doc_id, part, max(total) AS total, string_agg('- ' || CASE WHEN rule = ''
 
 
 def corpus_rollup(spark, sf):
-    hits = extract.phrase_hits(_docs(spark, sf), LEXICON).groupBy("doc_id").agg(F.sum("hits").alias("hits"))
-    d = _docs(spark, sf).select("doc_id", "lang", "source").join(hits, "doc_id")
+    counts = lexicon.group_counts(_docs(spark, sf).select("lang", "source", "text"), [[p for _, p in LEXICON]], {"text": "__n"})
+    d = counts.select("lang", "source", F.get("__n", F.lit(0)).alias("hits"))
     return d.cube("lang", "source").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"))
 
 
@@ -544,6 +588,14 @@ UNION ALL SELECT doc_id, id, 'R-2', {' + '.join(_COUNT('text', p) for r, p in LE
 SELECT * FROM h WHERE hits > 0 UNION ALL SELECT doc_id, NULL, 'R-3', CAST(sum({_N('[0-9]+')}) AS INTEGER) FROM sent WHERE NOT protected GROUP BY doc_id HAVING sum({_N('[0-9]+')}) >= 3"""
 
 
+def detector_candidates(spark, sf):
+    """The detectors' finds of all documents with their F-numbers."""
+    return statistics.numbered_candidates(detector_scan(spark, sf), [r for r, _, _ in DETECTORS])
+
+
+SQL["detector_candidates"] = f"SELECT doc_id, 'F' || row_number() OVER (PARTITION BY doc_id ORDER BY sentence NULLS LAST, rule) AS id, sentence, rule, hits FROM ({SQL['detector_scan']})"
+
+
 def _triaged(spark, sf):
     d = _docs(spark, sf).select("doc_id", "text", F.lit("").alias("request"), F.lit(None).cast("string").alias("file_path"))
     return triage.axes(d).withColumn("triage_line", compose.triage_line())
@@ -618,8 +670,8 @@ SQL["rewrite_report"] = f"""WITH ax AS ({_BLANK}) SELECT doc_id, concat_ws(chr(1
 QUERIES = {
     f.__name__: f
     for f in (
-        text_profile, sentence_split, sentence_count, sentence_join, numbered_text, phrase_hits_by_rule, semantic_items, literal_numbers, literal_dates_versions, literal_names, credential_gate, prose_gate, url_spans, protected_spans, triage_axes,
+        text_profile, sentence_split, sentence_count, sentence_join, numbered_text, phrase_hits_by_rule, semantic_items, literal_numbers, literal_dates_versions, literal_names, credential_gate, prose_gate, url_spans, protected_spans, span_sentences, document_statistics, corpus_statistics, triage_axes,
         verdict_parse, ledger_parse, pending_parse, judge_parse, patch_parse, patch_scope, patch_validate, patch_refusals, patch_apply, verify_signals, rescan_delta, verify_status, ledger_gap, review_report, corpus_rollup, eval_scores, runs,
-        literals_missing, detector_scan, diagnose_prompt, judge_prompt, rewrite_prompt, rewrite_report,
+        literals_missing, detector_scan, detector_candidates, diagnose_prompt, judge_prompt, rewrite_prompt, rewrite_report,
     )
 }
