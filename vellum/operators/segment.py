@@ -1,7 +1,7 @@
 """Numbered sentences: lines, sentence ends, paragraphs and separators, in one pass over a text.
 
-Regular expressions put marks where a sentence's text, its separator and a paragraph end; the
-text is split at them into one array for each document, so neither a window nor an
+Regular expressions put marks where a sentence with its separator and where a paragraph ends;
+the text is split at them into one array for each document, so neither a window nor an
 exchange is needed.  Under a star stand character classes only: alternations and groups
 there overflow the regex engine's stack on long lines.
 """
@@ -11,20 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Unicode noncharacters: the end of a sentence's text, of its separator, of a paragraph,
-#: and the begin of a line that is one placeholder.
-_TEXT, _SEP, _PARAGRAPH, _ALONE = "﷐", "﷑", "﷒", "﷓"
-_MARKS = _TEXT + _SEP + _PARAGRAPH + _ALONE
-# What ends a sentence, and what its end takes in.
+#: Unicode noncharacters: the end of a sentence with its separator, of a paragraph, and the
+#: begin of a line that is one placeholder.
+_SEP, _PARAGRAPH, _ALONE = "\ufdd0", "\ufdd1", "\ufdd2"
+_MARKS = _SEP + _PARAGRAPH + _ALONE
+# What ends a sentence, what its end takes in, and white space in Unicode.
 _ENDS, _SWALLOW = "。！？!?", r"”」』）\"')\]。！？!?"
+_SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _LINE = r"(?<![^\n])"
-_FIRST = r"(?U)\A(?:\s*\n)?[ \t]*"
+_FIRST = rf"\A(?:[{_SPACE}]*\n)?[ \t]*"
 _PLACEHOLDER = rf"{_LINE}([ \t]*+)(?=⟦[A-Z]+-[0-9]+⟧[ \t]*+(?:\n|\z))"
-_HEADING = rf"{_LINE}([ \t]*#(?:[^\n]*[^ \t\n])?)([ \t]*)"
-_SENTENCE = rf"((?:[{_ENDS}]|\.(?=\s|\z))[{_SWALLOW}]*)([ \t]*)"
-#: White space around line ends: to the end of the text, over blank lines, or one line end.
-_GAP = rf"(?U)(?:{_TEXT}([ \t]*){_SEP}|(?<![ \t{_TEXT}{_SEP}])([ \t]*+))(\n\s*\z|\n\s*\n[ \t]*+|\n[ \t]*+|\z)"
-_BREAK = rf"(?U)({_TEXT}[ \t]*\n\s*\n[ \t]*){_SEP}"
+_HEADING = rf"{_LINE}[ \t]*#[^\n]*"
+_SENTENCE = rf"(?:[{_ENDS}]|\.(?=[{_SPACE}]|\z))[{_SWALLOW}]*[ \t]*"
+#: Line ends: those at the end of the text, over blank lines, or one.
+_GAP = rf"(\n[{_SPACE}]*\z|\n[{_SPACE}]*\n[ \t]*|\n[ \t]*)"
+_BREAK = rf"(\n[{_SPACE}]*\n[ \t]*){_SEP}"
 #: The array of with_sentences().
 SENTENCES = "array<struct<text:string,sep:string,paragraph:int,protected:boolean>>"
 
@@ -36,20 +37,25 @@ def with_sentences(docs: DataFrame, text: str = "text", name: str = "sentences")
     sentence.  Leading white space of a line belongs to the separator of the sentence before
     it; that of the first line is dropped.  A document of white space only is one empty
     sentence; null and empty documents have none.  CRLF is read as LF.  The noncharacters
-    U+FDD0 to U+FDD3 are dropped.
+    U+FDD0 to U+FDD2 are dropped.
     """
     t = F.replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
     d = docs.withColumn("__whole", t).withColumn("__whole", F.when(F.col("__whole").rlike(f"[{_MARKS}]"), F.translate("__whole", _MARKS, "")).otherwise(F.col("__whole")))
-    d = d.withColumn("__marked", F.regexp_replace("__whole", _FIRST, ""))
+    blank = F.substring("__whole", 1, 1).rlike(f"[{_SPACE}]")
+    d = d.withColumn("__marked", F.when(blank, F.regexp_replace("__whole", _FIRST, "")).otherwise(F.col("__whole")))
     d = d.withColumn("__marked", F.when(F.contains("__marked", F.lit("⟦")), F.regexp_replace("__marked", _PLACEHOLDER, f"$1{_ALONE}")).otherwise(F.col("__marked")))
-    s = F.regexp_replace("__marked", f"(?U){_HEADING}|{_SENTENCE}", f"$1$3{_TEXT}$2$4{_SEP}")
-    s = F.regexp_replace(F.regexp_replace(s, _GAP, f"{_TEXT}$1$2$3{_SEP}"), _BREAK, f"$1{_PARAGRAPH}")
+    # the heading's pattern looks at every line's begin: only where a text has a #
+    marked = lambda pattern: F.regexp_replace("__marked", pattern, f"$0{_SEP}")
+    d = d.withColumn("__marked", F.when(F.contains("__marked", F.lit("#")), marked(f"{_HEADING}|{_SENTENCE}")).otherwise(marked(_SENTENCE)))
+    # a line's end belongs to its last sentence; the pattern begins with a fixed character, which is found fast
+    d = d.withColumn("__marked", F.replace("__marked", F.lit(f"{_SEP}\n"), F.lit("\n")))
+    s = F.regexp_replace(F.regexp_replace("__marked", _GAP, f"$1{_SEP}"), _BREAK, f"$1{_PARAGRAPH}")
 
     def sentence(x: Column, paragraph: Column) -> Column:
-        body = F.substring_index(x, _TEXT, 1)
-        return F.struct(F.replace(body, F.lit(_ALONE), F.lit("")).alias("text"), F.substring_index(x, _TEXT, -1).alias("sep"), (paragraph + 1).alias("paragraph"), body.startswith(_ALONE).alias("protected"))
+        body = F.rtrim(F.substring_index(x, "\n", 1), F.lit(" \t"))
+        return F.struct(F.replace(body, F.lit(_ALONE), F.lit("")).alias("text"), F.substr(x, F.length(body) + 1).alias("sep"), (paragraph + 1).alias("paragraph"), body.startswith(_ALONE).alias("protected"))
 
-    found = F.transform(F.split(s, _PARAGRAPH), lambda p, i: F.transform(F.filter(F.split(p, _SEP), lambda x: ~x.startswith(_TEXT) & (x != "")), lambda x: sentence(x, i)))
+    found = F.transform(F.split(s, _PARAGRAPH), lambda p, i: F.transform(F.filter(F.split(p, _SEP), lambda x: x != ""), lambda x: sentence(x, i)))
     space = F.struct(F.lit("").alias("text"), F.col("__whole").alias("sep"), F.lit(1).alias("paragraph"), F.lit(False).alias("protected"))
     whole = F.when(F.col("__whole") == "", F.array().cast(SENTENCES)).when(F.col("__whole").rlike(r"(?U)\S"), F.flatten(found)).otherwise(F.array(space))
     return d.withColumn(name, whole.cast(SENTENCES)).drop("__whole", "__marked")
