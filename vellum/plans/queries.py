@@ -6,12 +6,14 @@ fixture, written once below, beside or instead of the documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import compose, extract, gates, lexicon, patching, protect, protocol, report, segment, statistics, triage, verify
-from vellum.session import spread
+from vellum.session import shared_dir, spread
 
 #: (rule, phrase) pairs of a small lexicon of frequent words, so that counts aren't zero.
 LEXICON = [("hedge", "the"), ("hedge", "that"), ("hedge", "than"), ("cause", "for"), ("cause", "ion"), ("none", "因此")]
@@ -294,21 +296,28 @@ FROM pc LEFT JOIN hq USING (lang, source) GROUP BY lang, source"""
 
 
 def triage_axes(spark, sf):
-    return triage.axes(_fx(spark)).unionByName(triage.axes(_docs(spark, sf).select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit("审稿").alias("request"), F.lit(None).cast("string").alias("file_path"))))
+    """The fixture, and every document with a request by rule."""
+    request = F.get(F.array(*map(F.lit, REQUESTS)), (F.col("doc_id") % len(REQUESTS)).cast("int"))
+    made = _docs(spark, sf).select((F.col("doc_id") + 1000).alias("doc_id"), "text", request.alias("request"), F.when(F.col("doc_id") % 11 == 0, "a.md").alias("file_path"))
+    return triage.axes(_fx(spark).unionByName(made)).withColumn("user_specified", F.array_join("user_specified", ","))
+
+
+REQUESTS = ["审稿", "润色，别删句", "校对", "一句不删", "帮我看看，改写", "", "有什么问题，错别字"]
 
 
 def _has(c: str, words) -> str:
     return "(" + " OR ".join(f"contains({c}, {_q(w)})" for w in words) + ")"
 
 
-SQL["triage_axes"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS b, coalesce(request, '') AS r, coalesce(file_path, '') AS p FROM {_values(FX_DOCS, 'doc_id, text, request, file_path')} UNION ALL SELECT doc_id + 1000, text, '审稿', '' FROM documents),
+SQL["triage_axes"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS b, coalesce(request, '') AS r, coalesce(file_path, '') AS p FROM {_values(FX_DOCS, 'doc_id, text, request, file_path')} UNION ALL SELECT doc_id + 1000, coalesce(text, ''), list_extract({_q(REQUESTS)}, doc_id % {len(REQUESTS)} + 1), CASE WHEN doc_id % 11 = 0 THEN 'a.md' ELSE '' END FROM documents),
 e AS (SELECT *, {_N(CJK, 'b')} AS cjk, {_N(WORD, 'b')} AS words FROM d), f AS (SELECT *, CASE WHEN cjk >= words THEN 'zh' ELSE 'en' END AS lang, greatest(cjk, words) AS n FROM e)
 SELECT doc_id, lang, CASE WHEN p <> '' THEN 'file' WHEN {_has('r', triage.REVIEW)} AND NOT {_has('r', triage.EDIT)} THEN 'review' ELSE 'rewrite' END AS mode,
  CASE WHEN {_has('r', triage.PROOFREAD)} THEN 'proofread' WHEN {_has('r', triage.POLISH)} THEN 'polish' ELSE 'rewrite' END AS strength,
  CASE WHEN {_has('r', triage.INPLACE)} THEN 'in-place' WHEN {_has('r', triage.BOUNDED)} OR (lang = 'zh' AND n >= {triage.LONG_ZH}) THEN 'bounded' ELSE 'structural' END AS scope,
  CASE WHEN n < {triage.POST} AND regexp_matches(b, '(?:^|\\s)#[^\\s#]+') THEN '社交帖' WHEN regexp_matches(b, '(?m)^(?:尊敬的|亲爱的|Hi|Hello|Dear)\\b') AND {_has('b', triage.BUSINESS)} THEN '商务邮件'
   WHEN len(regexp_extract_all(b, '(?m)^\\s*(?:\\d+[.、)]|第[一二三四五六七八九十\\d]+步|步骤\\s*\\d+|Step\\s*\\d+)')) >= 2 OR len(regexp_extract_all(b, '(?m)^#{{1,6}}\\s')) >= 2 THEN '文档' ELSE '通用长文' END AS genre,
- n < CASE WHEN lang = 'zh' THEN {triage.SHORT_ZH} ELSE {triage.SHORT_EN} END AS short_text FROM f"""
+ n < CASE WHEN lang = 'zh' THEN {triage.SHORT_ZH} ELSE {triage.SHORT_EN} END AS short_text,
+ array_to_string(list_filter([CASE WHEN {_has('r', triage.PROOFREAD + triage.POLISH)} THEN 'strength' END, CASE WHEN {_has('r', triage.INPLACE + triage.BOUNDED)} THEN 'scope' END], lambda x: x IS NOT NULL), ',') AS user_specified FROM f"""
 
 _SEC = lambda n: f"trim(regexp_extract(raw, '(?s)<<<{n}>>>(.*?)<<<END>>>', 1), ' ' || chr(9) || chr(10) || chr(13))"
 
@@ -549,7 +558,39 @@ def _made_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def runs(spark, sf):
     from vellum.plans.runner import run
 
-    return run(*_made_runs(_docs(spark, sf)))
+    return run(*_made_runs(_docs(spark, sf))).drop("report")
+
+
+def _made_model():
+    """A model that answers live as _made_runs() has it on record, from the prompt it is given.
+
+    The class is made here so that it travels to executors whole.
+    """
+
+    class Model:
+        def complete(self, prompt: str, key: tuple) -> str | None:
+            doc, step, n = key
+            numbered = prompt.partition("## 编号正文\n\n[1] ")[2].split("\n")[0]
+            end = {(3, 2): "So it is.", (5, 1): "So it is.", (5, 2): "So it is!", (6, 1): "So it is.", (6, 2): "It is so.", (7, 1): "So it is."}.get((doc % 8, n))
+            if step == "diagnose":
+                return "<<<VERDICT>>>\n| ID | 裁决 | 理由 |\n|---|---|---|\n| S1 | 确认 | r |\n<<<END>>>" if doc % 8 == 5 else ""
+            if step == "judge":
+                said = {(6, 1): "失真", (6, 2): "通过"}.get((doc % 8, n))
+                return said and f"<<<JUDGE>>>\n| 块 | 结果 | 项 | 说明 |\n|---|---|---|---|\n| [1] | {said} | | |\n<<<END>>>"
+            line = {(3, 1): "[99999] -> x", (4, 1): "[1] -> So it is."}.get((doc % 8, n)) or (end and f"[1] -> {numbered} || {end}")
+            done = "| ID | 动作 | 说明 |\n|---|---|---|\n| S1 | 已改 | done |\n" if (doc % 8, n) == (5, 2) else ""
+            return line and f"<<<PATCH>>>\n{line}\n<<<END>>>\n<<<LEDGER>>>\n{done}<<<END>>>"
+
+    return Model()
+
+
+def live_runs(spark, sf):
+    """The rounds of `runs` with a model that is asked live, round after round."""
+    from vellum.plans.runner import Loop
+
+    docs, _ = _made_runs(_docs(spark, sf))
+    folder = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    return Loop(docs, _made_model, folder, {"diagnose": "D", "rewrite": "W", "judge": "J"}).run().drop("report")
 
 
 # The documents hold no protected spans, so a text restored is its sentences joined.
@@ -563,6 +604,7 @@ v AS (SELECT *, CASE WHEN NOT full_text OR lost OR k = 7 THEN 'fail' WHEN k = 5
 r AS (SELECT *, CASE WHEN stopped THEN 'stopped' WHEN k = 0 THEN 'reviewed' WHEN k = 2 THEN 'no_output' ELSE done END AS status FROM v)
 SELECT doc_id, CASE k WHEN 0 THEN 'review' WHEN 1 THEN 'file' ELSE 'rewrite' END AS mode, status, CASE WHEN status = 'reviewed' THEN 1 WHEN status IN ('stopped', 'no_output') THEN 0 WHEN k IN (3, 5, 6) THEN 2 ELSE 1 END AS rounds,
  CASE WHEN status IN ('pass', 'pass_with_signals') THEN o ELSE '' END AS output_text, status = 'fail' AS partial FROM r"""
+SQL["live_runs"] = SQL["runs"]
 _W = WORD.replace("{2019}", "{2019}")
 SQL["eval_scores"] = f"""WITH {_PAIRS}, k AS (SELECT doc_id AS case_id, b <> '' AS delivered, string_split(a, ' ') AS w, contains(regexp_replace(b, '\\s+', '', 'g'), regexp_replace(string_split(a, ' ')[1], '\\s+', '', 'g')) AS kept, NOT contains(b, '###') AS dropped, len(regexp_extract_all(b, '{_W}')) / greatest(len(regexp_extract_all(a, '{_W}')), 1) >= 0.5 AS long FROM pr),
 c AS (SELECT case_id, delivered AS pass FROM k UNION ALL SELECT case_id, kept FROM k WHERE delivered AND len(w) > 1 UNION ALL SELECT case_id, dropped FROM k WHERE delivered UNION ALL SELECT case_id, long FROM k WHERE delivered)
@@ -671,7 +713,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_profile, sentence_split, sentence_count, sentence_join, numbered_text, phrase_hits_by_rule, semantic_items, literal_numbers, literal_dates_versions, literal_names, credential_gate, prose_gate, url_spans, protected_spans, span_sentences, document_statistics, corpus_statistics, triage_axes,
-        verdict_parse, ledger_parse, pending_parse, judge_parse, patch_parse, patch_scope, patch_validate, patch_refusals, patch_apply, verify_signals, rescan_delta, verify_status, ledger_gap, review_report, corpus_rollup, eval_scores, runs,
+        verdict_parse, ledger_parse, pending_parse, judge_parse, patch_parse, patch_scope, patch_validate, patch_refusals, patch_apply, verify_signals, rescan_delta, verify_status, ledger_gap, review_report, corpus_rollup, eval_scores, runs, live_runs,
         literals_missing, detector_scan, detector_candidates, diagnose_prompt, judge_prompt, rewrite_prompt, rewrite_report,
     )
 }

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import sys
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +29,20 @@ def spread(df: DataFrame) -> DataFrame:
     row group does.  Where they give enough, as on a large table, nothing is moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.  Only a local
+    master, whose one process has one disk, may do without a named one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="vellum-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return "file://" + _own[0]
