@@ -10,10 +10,12 @@ lines.  visibility is inherited and may be set again further in.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +27,10 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
 #: Elements that are never shown.
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object svg math canvas audio video datalist select meta link".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object canvas audio video datalist meta link desc metadata defs annotation annotation-xml".split())
 #: Blocks with an empty line before and after them, and blocks with a line break only.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset".split())
-BLOCK = SPACED | frozenset("html body div section article main nav aside header footer address hgroup li dt dd tr thead tbody tfoot caption figcaption details summary legend center dialog search menu".split())
+BLOCK = SPACED | frozenset("html body div section article main nav aside header footer address hgroup li dt dd tr thead tbody tfoot caption figcaption details summary legend center dialog search menu select option optgroup".split())
 #: What a start tag closes, and the elements within which it looks for it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -49,17 +51,21 @@ SCOPE = frozenset("table td th caption html button object".split())
 #: Most columns and rows that a cell spans (fixed by the HTML standard), and the column
 #: width up to which cells are padded.
 MOST_COLUMNS, MOST_ROWS, MOST_PAD = 1000, 65534, 60
+#: Where the last aligned column begins, how far items are indented, and how many tables
+#: within each other are aligned; text beyond stays, on lines of its own.
+MOST_PLACE, MOST_INDENT, MOST_NESTED = 300, 60, 8
 
 
 class Node:
     """hidden: the whole element is; visible: what its visibility property says, if it has one."""
 
-    __slots__ = ("cells", "children", "columns", "hidden", "rows", "tag", "visible")
+    __slots__ = ("cells", "children", "columns", "hidden", "number", "rows", "tag", "visible")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.hidden, self.visible, self.children = tag, tag in HIDDEN, None, []
         self.cells = False  # holds rows or cells of the table around it
         self.columns = self.rows = 1
+        self.number: int | None = None  # start of an ol, value of an li
         if not self.hidden and attributes and attributes.strip(" /"):
             self._read(attributes)
 
@@ -76,6 +82,8 @@ class Node:
                         self.hidden = True
                     elif what == "visibility":
                         self.visible = {"hidden": False, "collapse": False, "visible": True}.get(how, self.visible)
+            elif (self.tag, name) in (("ol", "start"), ("li", "value")) and re.fullmatch(r"-?[0-9]{1,9}", value, re.ASCII):
+                self.number = int(value)
             elif name in ("colspan", "rowspan") and self.tag in ("td", "th") and value[:6].isdecimal() and value.isascii():
                 if name == "colspan":
                     self.columns = min(max(int(value[:6]), 1), MOST_COLUMNS)
@@ -205,12 +213,19 @@ def parse(source: str) -> Node:
 
 
 class _Lines:
-    """Collects lines; knows how many empty ones are due before the next text."""
+    """Collects lines with their indent; knows how many empty ones are due before the next text.
+
+    All blocks and lists of a cell or page write to one collector, so that a line is made once
+    however deep it stands.
+    """
 
     def __init__(self):
         self.out: list[str] = []
         self.now: list[str] = []
         self.gap = 0
+        self.first = 0  # lines that were there when the innermost item began
+        self.indent = 0
+        self.lead: str | None = None  # indent and marks of items that have no line yet
 
     def text(self, s: str) -> None:
         s = re.sub(r"[ \t\n\r\f]+", " ", s)
@@ -226,16 +241,48 @@ class _Lines:
             self.put(s)
 
     def put(self, s: str) -> None:
-        if self.out and self.gap:
+        if len(self.out) > self.first and self.gap:
             self.out += [""] * self.gap
         self.gap = 0
-        self.out.append(s)
+        if s:
+            self.out.append((" " * self.indent if self.lead is None else self.lead) + s)
+            self.lead = None
+        elif self.lead is None:  # an item doesn't begin with an empty line
+            self.out.append("")
 
     def block(self, spaced: bool) -> None:
         self.line()
-        if spaced and self.out:
+        if spaced and len(self.out) > self.first:
             self.gap = 1
 
+    def enter(self, mark: str) -> tuple:
+        """Begin an item with its mark; what leave() takes.  Marks end at MOST_INDENT columns."""
+        self.line()
+        before = (self.first, self.indent, self.lead, self.gap, len(self.out))
+        lead = " " * self.indent if self.lead is None else self.lead
+        if len(lead) < MOST_INDENT:
+            self.lead = lead + mark
+            self.indent += len(mark)
+        elif mark.strip() and self.lead is None:
+            self.lead = lead + mark
+        # an empty line that is due stands before the item, not within
+        if self.gap and len(self.out) > self.first:
+            self.out += [""] * self.gap
+        self.gap, self.first = 0, len(self.out)
+        return before
+
+    def leave(self, before: tuple) -> None:
+        self.line()
+        first, self.indent, lead, gap, size = before
+        if len(self.out) == self.first:  # nothing came: as if the item weren't there
+            del self.out[size:]
+            self.lead, self.gap = lead, gap
+        else:
+            while not self.out[-1]:
+                self.out.pop()
+            self.lead, self.gap = None, 0
+        self.first = first
+
 
 def _parts(table: Node) -> tuple[list[Node], list[list[Node]]]:
     """Captions and misplaced content, in their order, and the cells of each row.
@@ -302,18 +349,22 @@ def _table(node: Node, depth: int, shown: bool):
         out += yield _render(c, depth, _shown(c, shown))
     # (column, columns spanned, lines) of the cells of each row
     grid: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
-    for r in rows:
+    until, last = None, 0  # the row to which cells above take each column, and the last such row
+    for i, r in enumerate(rows):
         grid.append([])
-        at, below = 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        free = np.flatnonzero(until <= i).tolist() if i < last else None
+        at = 0
         for c in r:
-            while at in taken:
-                at += 1
+            if free is not None and at < MOST_COLUMNS:
+                k = bisect.bisect_left(free, at)
+                at = free[k] if k < len(free) else MOST_COLUMNS
             grid[-1].append((at, c.columns, (yield _render(c, depth, _shown(c, shown))) or [""]))
-            if c.rows > 1:
-                below |= dict.fromkeys(range(at, at + c.columns), c.rows - 1)
+            if c.rows > 1 and at < MOST_COLUMNS:
+                until = np.zeros(MOST_COLUMNS, np.int64) if until is None else until
+                taken = until[at : at + c.columns]
+                np.maximum(taken, i + c.rows, out=taken)
+                last = max(last, i + c.rows)
             at += c.columns
-        taken = below
     width: dict[int, int] = {}
     for row in grid:
         for at, span, cell in row:
@@ -323,7 +374,7 @@ def _table(node: Node, depth: int, shown: bool):
     ends = {}  # where a column's text begins in a line
     place = 0
     for c in columns:
-        ends[c] = place
+        ends[c] = min(place, MOST_PLACE)
         place += width[c] + 2
     for row in grid:
         for k in range(max((len(cell) for _, _, cell in row), default=0)):
@@ -386,23 +437,38 @@ def _render(node: Node, depth: int, shown: bool):
             elif c.tag == "hr":
                 lines.block(True)
                 lines.gap = 1
-            elif c.tag == "table":
+            elif c.tag == "table" and depth < MOST_NESTED:
                 lines.block(True)
                 for x in (yield _table(c, depth + 1, _shown(c, shown))):
                     lines.put(x)
                 lines.block(True)
             elif c.tag in ("ul", "ol", "menu", "dl"):
                 lines.block(n.tag != "li" and n.tag not in ("ul", "ol", "menu"))
-                for x in (yield _list(c, depth, _shown(c, shown))):
-                    lines.put(x)
+                yield items(c, _shown(c, shown))
                 lines.block(n.tag != "li" and n.tag not in ("ul", "ol", "menu"))
-            elif c.tag in BLOCK:
+            elif c.tag in BLOCK or c.tag in ("td", "th"):
                 lines.block(c.tag in SPACED)
                 yield walk(c, pre or c.tag == "pre", _shown(c, shown))
                 lines.block(c.tag in SPACED)
             else:
                 yield walk(c, pre or c.tag == "textarea", _shown(c, shown))
 
+    def items(n: Node, shown: bool):
+        number = 0 if n.number is None else n.number - 1
+        for c in n.children:
+            if isinstance(c, Node) and c.hidden or isinstance(c, str) and not c.strip():
+                continue
+            if isinstance(c, Node) and c.tag == "li":
+                number = number + 1 if c.number is None else c.number
+                before = lines.enter(f"{number}. " if n.tag == "ol" else "- ")
+                yield walk(c, False, _shown(c, shown))
+            else:
+                holder = Node("div")
+                holder.children = [c]
+                before = lines.enter("  " if isinstance(c, Node) and c.tag in ("dd", "ul", "ol", "menu") else "")
+                yield walk(holder, False, shown)
+            lines.leave(before)
+
     yield walk(node, node.tag == "pre", shown)
     lines.line()
     while lines.out and not lines.out[-1]:
@@ -410,25 +476,6 @@ def _render(node: Node, depth: int, shown: bool):
     return lines.out
 
 
-def _list(node: Node, depth: int, shown: bool):
-    out: list[str] = []
-    number = 0
-    for c in node.children:
-        if isinstance(c, Node) and c.hidden or isinstance(c, str) and not c.strip():
-            continue
-        if isinstance(c, Node) and c.tag == "li":
-            number += 1
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            body = yield _render(c, depth + 1, _shown(c, shown))
-            out += [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(body)]
-        else:
-            holder = Node("div")
-            holder.children = [c]
-            indent = "  " if isinstance(c, Node) and c.tag in ("dd", "ul", "ol", "menu") else ""
-            out += [indent + x for x in (yield _render(holder, depth + 1, shown))]
-    return out
-
-
 def page_text(source: str | None) -> str:
     """All visible text; empty for null, empty and wholly hidden pages."""
     return "\n".join(render(parse(source or "")))
