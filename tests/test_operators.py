@@ -177,18 +177,16 @@ def test_runs_of_small_documents(spark):
     assert [r.output_text for r in got if r.output_text] == ["Dear Ann,\nWe raise 4 million. Version 1.2.3 works? Yes."]
 
 
-def test_cases_of_files_keep_every_assertion(spark, tmp_path, monkeypatch):
+def test_cases_of_files_keep_every_assertion(spark, tmp_path):
     import json
-    from types import SimpleNamespace
 
     from vellum.operators import report
     from vellum.sources import tables
 
-    monkeypatch.setattr(tables, "_yaml", lambda: SimpleNamespace(safe_load=json.loads))
     a = {"id": 1, "lang": "en", "mode": "rewrite", "class": "minimal_edit", "body": "Keep a b.", "must_not_add": [{"kind": "number"}, {"kind": "dash"}], "sentence_count": {"min": 1, "max": 1}, "order": [["a", "b"]], "minimal_edit_tolerance": 0, "length_ratio_min": 1}
     b = {"id": 2, "mode": "review", "body": "x", "expected_verdict": "hit", "forbidden_in_report": ["bad"]}
     for c in (a, b):
-        (tmp_path / f"{c['id']}.yaml").write_text(json.dumps(c))
+        (tmp_path / f"{c['id']}.json").write_text(json.dumps(c))
     out = spark.createDataFrame([(1, "Keep b a 7.", "", "rewrite", 2), (2, "", "bad", "review", None)], "case_id int, output string, report string, run_mode string, n_sentences int")
     failed = {(r.case_id, r.check) for r in report.eval_checks(tables.read_cases(spark, str(tmp_path)), out, {}).collect() if not r["pass"]}
     assert failed == {(1, "must_not_add:number"), (1, "sentence_count"), (1, "order:a<b"), (1, "minimal_edit"), (2, "expected_verdict"), (2, "forbidden_in_report:bad")}
