@@ -1,12 +1,14 @@
 """SimHash near-duplicates: segment popcounts, grid range-join, exact verification.
 
 Every text gets a 64-bit fingerprint; equal fingerprints collapse first.  A half of a
-fingerprint is embedded as the bit counts of its two-bit segments, cut at even and at odd
-places.  The Manhattan distance of two such vectors, within either cut, never exceeds the
-Hamming distance, and is below it where bits of a segment differ in opposite ways.  Links
-within RADIUS differ in one half by RADIUS // 2 = 1 bit at most: the range-join looks in a
-half's own grid cell and in those one bit away, at distance 1 in either cut (halves of odd
-bit count reach out to the even ones, so one side does all the reaching).
+fingerprint is embedded as the bit counts of its sixteen two-bit segments.  The Manhattan
+distance of two such vectors never exceeds the Hamming distance, and is below it where bits of a
+segment differ in opposite ways.  Links within RADIUS differ in one half by RADIUS // 2 = 1 bit
+at most: the range-join looks in a half's own grid cell and in those at Manhattan distance
+1 (halves of odd bit count reach out to the even ones, so one side does all the reaching, to 24
+cells on average).  The 2^k halves that agree but for the order of bits in k segments of one bit, 8 such
+segments on average, share a cell; two random halves do so once in 6.6 million (0.375 to the
+power of 16), and exact comparison sorts such strangers out.
 Members of a cell are compared exactly; a cell gives a spanning forest of its links, never
 all pairs, and cells of many members are dealt out as pairs of bounded blocks.
 Components come from alternating large-star and small-star steps over the forest.
@@ -66,12 +68,19 @@ _PAIRS = np.uint64(0x55555555)
 
 
 def embedded(halves: np.ndarray) -> np.ndarray:
-    """Bit counts (0, 1, 2) of the 16 two-bit segments of each half, two bits a count, and
-    above them those of the segments that begin one bit later."""
-    one, low = np.uint64(1), np.uint64(0xFFFFFFFF)
-    turned = ((halves >> one) | (halves << np.uint64(31))) & low
-    counts = [v - ((v >> one) & _PAIRS) for v in (halves, turned)]
-    return counts[0] | counts[1] << np.uint64(32)
+    """Bit counts (0, 1, 2) of the 16 two-bit segments of each half, two bits a count."""
+    return halves - ((halves >> np.uint64(1)) & _PAIRS)
+
+
+def neighbours(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The count vectors at Manhattan distance 1 from each of counts, and the row of each."""
+    found, rows = [], []
+    for i in range(0, 32, 2):
+        one, count = np.uint64(1 << i), (counts >> np.uint64(i)) & np.uint64(3)
+        for own, step in ((np.flatnonzero(count < 2), one), (np.flatnonzero(count > 0), np.uint64(0) - one)):
+            found.append(counts[own] + step)
+            rows.append(own)
+    return np.concatenate(found), np.concatenate(rows)
 
 
 def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,13 +93,13 @@ def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     index = np.arange(len(fps))
     for half in (0, 1):
         v = (fps >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+        own = embedded(v)
         odd = np.flatnonzero(np.bitwise_count(v) % 2)
-        reached = (v[odd][:, None] ^ (np.uint64(1) << np.arange(32, dtype=np.uint64))).ravel()
-        for part, of in ((v, index), (reached, np.repeat(odd, 32))):
-            k = embedded(part)
-            k = (k ^ k >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(half)
-            keys.append(k.view(np.int64))
-            rows.append(of)
+        reached, of = neighbours(own[odd])
+        for part, at in ((own, index), (reached, odd[of])):
+            k = (part ^ np.uint64(half) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+            keys.append((k ^ k >> np.uint64(31)).view(np.int64))
+            rows.append(at)
     return np.concatenate(keys), np.concatenate(rows)
 
 
