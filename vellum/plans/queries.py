@@ -610,6 +610,19 @@ SQL["eval_scores"] = f"""WITH {_PAIRS}, k AS (SELECT doc_id AS case_id, b <> ''
 c AS (SELECT case_id, delivered AS pass FROM k UNION ALL SELECT case_id, kept FROM k WHERE delivered AND len(w) > 1 UNION ALL SELECT case_id, dropped FROM k WHERE delivered UNION ALL SELECT case_id, long FROM k WHERE delivered)
 SELECT case_id, bool_and(pass) AS passed, count(*) FILTER (NOT pass) AS n_failed, count(*) AS n_checks FROM c GROUP BY case_id"""
 
+def minimal_edit_bounds(spark, sf):
+    """For every document and its changed text: the characters in common and how a comparison
+    within a tenth would be settled."""
+    d = _pairs(spark, sf).select("doc_id", "original", "restored")
+    d = report.with_edit_bounds(d, "original", "restored", F.lit(0.1))
+    return d.select("doc_id", report.common_characters(F.col("original"), F.col("restored")).alias("common"), "decided")
+
+
+SQL["minimal_edit_bounds"] = f"""WITH {_PAIRS}, ca AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(a, '')) AS c FROM pr) GROUP BY ALL), cb AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(b, '')) AS c FROM pr) GROUP BY ALL),
+cm AS (SELECT doc_id, sum(least(ca.n, cb.n)) AS m FROM ca JOIN cb USING (doc_id, c) WHERE c <> '' GROUP BY ALL)
+SELECT doc_id, CAST(coalesce(m, 0) AS INTEGER) AS common, CASE WHEN a = b THEN 'equal' WHEN 2 * least(length(a), length(b)) < 0.9 * (length(a) + length(b)) THEN 'lengths' WHEN 2 * coalesce(m, 0) < 0.9 * (length(a) + length(b)) THEN 'characters' ELSE 'sequence' END AS decided FROM pr LEFT JOIN cm USING (doc_id)"""
+
+
 def literals_missing(spark, sf):
     """Names of the documents that the restored texts lack."""
     items = extract.literal_items(segment.sentences(_docs(spark, sf))).filter("kind = 'name'")
@@ -714,6 +727,6 @@ QUERIES = {
     for f in (
         text_profile, sentence_split, sentence_count, sentence_join, numbered_text, phrase_hits_by_rule, semantic_items, literal_numbers, literal_dates_versions, literal_names, credential_gate, prose_gate, url_spans, protected_spans, span_sentences, document_statistics, corpus_statistics, triage_axes,
         verdict_parse, ledger_parse, pending_parse, judge_parse, patch_parse, patch_scope, patch_validate, patch_refusals, patch_apply, verify_signals, rescan_delta, verify_status, ledger_gap, review_report, corpus_rollup, eval_scores, runs, live_runs,
-        literals_missing, detector_scan, detector_candidates, diagnose_prompt, judge_prompt, rewrite_prompt, rewrite_report,
+        literals_missing, minimal_edit_bounds, detector_scan, detector_candidates, diagnose_prompt, judge_prompt, rewrite_prompt, rewrite_report,
     )
 }
