@@ -1,0 +1,48 @@
+"""Outputs that arrive in any order and in several batches give the result of their replay."""
+
+from __future__ import annotations
+
+import random
+import time
+
+from test_live_rounds import OUTPUTS, _docs
+
+from vellum.plans import runner
+from vellum.streaming import rounds
+
+
+def test_any_order_gives_the_result_of_the_replay(spark, tmp_path):
+    rows = [(*k, raw) for k, raw in OUTPUTS.items()]
+    random.Random(4).shuffle(rows)
+    want = sorted(map(tuple, runner.run(_docs(spark), spark.createDataFrame(rows, rounds.OUTPUTS).coalesce(1)).filter("doc_id < 8").collect()))
+    source, sink, at = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :] + rows[:3]):  # three come twice
+            spark.createDataFrame(part, rounds.OUTPUTS).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rounds.OUTPUTS).parquet(source)
+            rounds.stream_rounds(spark, lambda: _docs(spark), stream, sink, at).awaitTermination()
+        got = rounds.results(spark, sink)
+        assert sorted(map(tuple, got.drop("closed").collect())) == want
+        assert got.filter("closed").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_silent_document_is_closed(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(2, "rewrite", 1, OUTPUTS[2, "rewrite", 1])], rounds.OUTPUTS).coalesce(1).write.mode("append").parquet(source)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        q = rounds.stream_rounds(spark, lambda: _docs(spark), spark.readStream.schema(rounds.OUTPUTS).parquet(source), sink, str(tmp_path / "cp"), wait_ms=1000, processingTime="1 second")
+        try:
+            for _ in range(60):
+                time.sleep(1)
+                if (tmp_path / "out" / "batch=1").exists() and (tmp_path / "out" / "batch=1" / "_SUCCESS").exists():
+                    break
+        finally:
+            q.stop()
+        r = rounds.results(spark, sink).first()
+        assert (r.doc_id, r.status, r.closed) == (2, "fail", True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -1,0 +1,74 @@
+"""Rounds as a stream: a model's outputs arrive in any order, and each document's result is
+brought up to date with every batch that holds one of its outputs.
+
+The state of a document is its outputs so far, at most one for each step and round.  A
+document that hears nothing for a while is closed: what it has then is its last word.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from vellum.plans.runner import run
+from vellum.session import ship
+
+OUTPUTS = "doc_id long, step string, round int, raw string"
+_HELD = "doc_id long, outputs string, closed boolean"
+
+
+def _held(wait_ms: int) -> Callable:
+    def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        have = json.loads(state.get[0]) if state.exists else {}
+        late = state.hasTimedOut
+        for batch in batches:
+            for step, n, raw in zip(batch["step"], batch["round"], batch["raw"], strict=True):
+                # of outputs that come twice the first by text counts, whatever came first
+                at = f"{step}:{int(n)}"
+                have[at] = raw if have.get(at) is None else have[at] if raw is None else min(raw, have[at])
+        if late:
+            state.remove()
+        else:
+            state.update((json.dumps(have),))
+            state.setTimeoutDuration(wait_ms)
+        rows = [[*k.rsplit(":", 1), raw] for k, raw in sorted(have.items())]
+        yield pd.DataFrame({"doc_id": [key[0]], "outputs": [json.dumps(rows)], "closed": [late]})
+
+    return collect
+
+
+def stream_rounds(spark: SparkSession, docs: Callable[[], DataFrame], outputs: DataFrame, sink: str, checkpoint: str, lexicons: dict[str, dict] | None = None, wait_ms: int = 3_600_000, **trigger):
+    """A running query: outputs is a stream with the columns of OUTPUTS; docs gives the documents
+    (doc_id, text, request, file_path), and each batch reads those that it touches.
+
+    Batches go to folders of their own below sink, so that one that runs again replaces what
+    it wrote; results() reads the last row of each document.
+    """
+    ship(spark)
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read several times, and the state must not be asked again
+        try:
+            last = batch.groupBy("doc_id").agg(F.max_by("outputs", F.length("outputs")).alias("outputs"), F.bool_or("closed").alias("closed"))
+            rows = last.select("doc_id", F.explode_outer(F.from_json("outputs", "array<array<string>>")).alias("x")).filter("x IS NOT NULL")
+            rows = rows.select("doc_id", F.col("x")[0].alias("step"), F.col("x")[1].cast("int").alias("round"), F.col("x")[2].alias("raw"))
+            own = docs().join(last.select("doc_id"), "doc_id", "left_semi")
+            done = run(own, rows, lexicons).join(last.select("doc_id", "closed"), "doc_id")
+            done.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    held = outputs.groupBy("doc_id").applyInPandasWithState(_held(wait_ms), _HELD, "outputs string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return held.writeStream.outputMode("update").foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def results(spark: SparkSession, sink: str) -> DataFrame:
+    """The rows of runner.run() of every document that the stream has heard of, and closed."""
+    d = spark.read.parquet(sink)
+    names = [c for c in d.columns if c not in ("doc_id", "batch")]
+    return d.groupBy("doc_id").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("doc_id", "r.*")
