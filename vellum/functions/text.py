@@ -24,8 +24,13 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether a text has as many bytes as characters."""
+    return F.octet_length(_text(c)) == F.length(_text(c))
+
+
 def count_cjk(c: Column) -> Column:
-    return F.regexp_count(_text(c), F.lit(CJK))
+    return F.when(is_ascii(c), F.lit(0)).otherwise(F.regexp_count(_text(c), F.lit(CJK)))
 
 
 def count_words(c: Column) -> Column:

@@ -8,11 +8,13 @@ whose quantiles are the lower ends of their buckets, at most a sixteenth below.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.functions.text import CJK, EMOJI, language, length_in, let
+from vellum.functions.text import CJK, EMOJI, is_ascii, language, length_in, let
 from vellum.operators.segment import with_sentences
 
 # What the statistics count.
@@ -29,6 +31,9 @@ PATTERNS = {
     "hashtags": r"#[^\s#]+",
     "hidden": r"[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]",
 }
+#: What an ASCII text has none of, and what a text must hold for a match.
+_BEYOND_ASCII = {"quotes_curly", "quotes_corner", "quotes_angle", "full_width", "half_width", "emoji", "hidden"}
+_HOLDS = {"bold": ("**", "__"), "hashtags": ("#",)}
 QUANTILES = {"p50": 0.5, "p90": 0.9}
 
 
@@ -53,7 +58,15 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     lengths = F.transform("__s", lambda s: bucket(length_in(s["text"], F.col("lang"))))
     # sorted, so that a bucket's number is the distance between two ends
     each = let(F.array_sort(lengths), lambda a: F.transform(F.array_distinct(a), lambda b: F.struct(b.alias("bucket"), F.size(F.filter(a, lambda x: x == b)).cast("long").alias("n"))))
-    counts = [F.regexp_count(t, F.lit(p)).alias(n) for n, p in PATTERNS.items()]
+
+    def count(name: str, pattern: str) -> Column:
+        n = F.regexp_count(t, F.lit(pattern))
+        if name in _BEYOND_ASCII:
+            return F.when(is_ascii(t), F.lit(0)).otherwise(n)
+        held = [F.contains(t, F.lit(x)) for x in _HOLDS.get(name, ())]
+        return F.when(functools.reduce(Column.__or__, held), n).otherwise(F.lit(0)) if held else n
+
+    counts = [count(n, p).alias(n) for n, p in PATTERNS.items()]
     d = d.select(key, "lang", F.length(t).alias("chars"), F.size("__s").alias("sentences"), *counts, each.alias("histogram"))
     return d.withColumn("mixed_width", (F.col("full_width") > 0) & (F.col("half_width") > 0))
 
@@ -61,14 +74,21 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
 def corpus_statistics(statistics: DataFrame, by: list[str]) -> DataFrame:
     """Totals of document_statistics() by columns of it, and QUANTILES and the longest of the
     sentences, from the sum of all histograms.  A group without sentences has none."""
-    totals = statistics.groupBy(*by).agg(F.count("*").alias("documents"), *[F.sum(F.col(c).cast("long")).alias(c) for c in ("chars", "sentences", *PATTERNS)], F.count_if("mixed_width").alias("mixed_width"))
-    merged = statistics.select(*by, F.explode_outer("histogram").alias("h")).filter("h IS NOT NULL").groupBy(*by, "h.bucket").agg(F.sum("h.n").alias("n"))
+    # a document is one row of its counts and one for each bucket, so that both sums come from one
+    # pass over the texts; the counts are the group's row without a bucket
+    counted = ("chars", "sentences", *PATTERNS)
+    row = lambda h, *c: F.struct(h["bucket"].alias("bucket"), h["n"].alias("n"), *[x.cast("long").alias(n) for x, n in zip(c, ("documents", *counted, "mixed_width"), strict=True)])
+    none = F.lit(None).cast("struct<bucket:int,n:bigint>")
+    own = row(none, F.lit(1), *map(F.col, counted), F.col("mixed_width"))
+    rows = F.concat(F.array(own), F.transform("histogram", lambda h: row(h, *[F.lit(None)] * (len(counted) + 2))))
+    # an inner explode would make Spark compute its array a second time, in a filter below it
+    each = statistics.select(*by, F.explode_outer(rows).alias("h")).select(*by, "h.*")
+    names = ("documents", *counted, "mixed_width")
+    sums = each.groupBy(*by, "bucket").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
     w = Window.partitionBy(*by)
-    merged = merged.withColumn("__c", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("n").over(w))
+    sums = sums.withColumn("__c", F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("n").over(w))
     at = [bucket_start(F.min(F.when(F.col("__c") >= F.lit(q) * F.col("__n"), F.col("bucket")))).alias(name) for name, q in QUANTILES.items()]
-    found = merged.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(*at, bucket_start(F.max("bucket")).alias("longest"))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    return totals.join(found, same, "left").drop(*[f"__{c}" for c in by])
+    return sums.groupBy(*by).agg(*[F.max(c).alias(c) for c in names], *at, bucket_start(F.max("bucket")).alias("longest"))
 
 
 def numbered_candidates(found: DataFrame, rules: list[str], key: str = "doc_id") -> DataFrame:
