@@ -80,3 +80,21 @@ def test_results_and_exit_code(spark, tmp_path):
     got = {p.stem: json.loads(p.read_text()) for p in (tmp_path / "r").iterdir()}
     assert [got[i]["status"] for i in "123"] == ["pass", "fail", "error"] and got["2"]["failed"] == ["delivered"] and got["3"]["error"] == "the model is gone"
     assert tables.write_results(results.filter("case_id = 1"), str(tmp_path / "r")) == 0 and [p.name for p in (tmp_path / "r").iterdir()] == ["1.json"]
+
+
+def test_a_task_that_outlives_its_failed_job_leaves_nothing(spark, tmp_path):
+    from pyspark.sql import Row
+
+    writer = records._Writer({"path": str(tmp_path), "name": "id"}, False)
+    rows = iter([Row(id=1), Row(id=2)])
+
+    def late():
+        yield next(rows)
+        writer.abort([])
+        yield next(rows)
+
+    with pytest.raises(FileNotFoundError):
+        writer.write(late())
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([Row(id=3)]))
+    assert list(tmp_path.iterdir()) == []

@@ -111,9 +111,10 @@ class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.folder, self.name, self.overwrite = _folder(options), options["name"], overwrite
         self.pending = f"{self.folder}/_pending-{uuid.uuid4().hex}"
+        # made here and not by the tasks: one that is still at work when its job has failed would make it anew
+        os.makedirs(self.pending)
 
     def write(self, iterator) -> Written:
-        os.makedirs(self.pending, exist_ok=True)
         files = []
         for row in iterator:
             data = row.asDict(recursive=True)
@@ -138,10 +139,13 @@ class _Writer(DataSourceWriter):
         self._clear()
 
     def _clear(self) -> None:
+        # aside first, so that no task can add to it any more
+        gone = f"{self.pending}-gone"
         if os.path.isdir(self.pending):
-            for name in os.listdir(self.pending):  # of tasks that were tried twice
-                os.remove(f"{self.pending}/{name}")
-            os.rmdir(self.pending)
+            os.rename(self.pending, gone)
+            for name in os.listdir(gone):  # of tasks that were tried twice
+                os.remove(f"{gone}/{name}")
+            os.rmdir(gone)
 
 
 class Records(DataSource):
